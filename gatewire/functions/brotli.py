@@ -17,7 +17,7 @@ def brotli_decompress(payload: Column) -> Column:
         import pyarrow as pa
 
         def one(value):
-            if not value.is_valid:
+            if not value.is_valid or not len(value.as_buffer()):
                 return None
             try:
                 return pa.CompressedInputStream(pa.BufferReader(value.as_buffer()), "brotli").read()

@@ -8,6 +8,7 @@ PLAIN = "json"
 VERSIONED = "versioned"
 BASE64 = "base64"
 
+BLANK_PATTERN = r"[ \t\r\n]"
 BYTE_ORDER_MARK = "﻿"
 
 
@@ -29,8 +30,9 @@ def message_class(message: Column) -> Column:
 def strict_base64(message: Column) -> Column:
     """Decode only when the whole input is base64 in full groups of four; line breaks and blanks don't count."""
     text = message.cast("string")
-    significant = F.length(message) - F.regexp_count(text, F.lit(r"[ \t\r\n]"))
-    return F.when(significant % 4 == 0, F.try_to_binary(text, F.lit("base64")))
+    blanks = F.regexp_count(text, F.lit(BLANK_PATTERN))
+    compact = F.when(blanks == 0, text).otherwise(F.regexp_replace(text, BLANK_PATTERN, ""))
+    return F.when((F.length(message) - blanks) % 4 == 0, F.try_to_binary(compact, F.lit("base64")))
 
 
 def document_text(document: Column) -> Column:

@@ -68,8 +68,8 @@ class FieldType:
     """
 
     code: str
-    read: Callable[[Column, Column, bool], Column]
-    refuse: Callable[[Column, Column, Column, Column], Column]
+    read: Callable[[Column, Column | None, bool], Column]
+    refuse: Callable[[Column, Column | None, Column, Column], Column]
     default: object = None
     typed: bool = False
 
@@ -102,8 +102,10 @@ def decode_choice(text: Column, names: dict[str, int]) -> Column:
 def choice(names: dict[str, int], default: int | None = None) -> FieldType:
     """Enumeration field; one with a default takes it when absent and refuses null."""
 
-    def read(text: Column, tag: Column, strict: bool) -> Column:
-        return decode_choice(text, names)
+    def read(text: Column, tag: Column | None, strict: bool) -> Column:
+        number = decode_choice(text, names)
+        # A VARIANT prints 1.0 as "1", which plain text doesn't.
+        return number if tag is None else F.when(tag.isin("BIGINT", "STRING"), number)
 
     return FieldType("bad_enum", read, _unread if default is None else _unread_or_null, default)
 

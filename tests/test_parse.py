@@ -1,0 +1,233 @@
+"""Field rules of the two readers."""
+
+import datetime as dt
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from gatewire.functions.problems import errors_map
+from gatewire.operators.parse import authn_to_json, conform, parse_authn, parse_authz
+
+from samples import AUTHN, AUTHZ, CONTEXT, text
+
+
+def utc(*parts):
+    return dt.datetime(*parts, tzinfo=dt.timezone.utc)
+
+
+def read(spark, body, kind="authn", strict=None):
+    """Values and errors of one document."""
+    frame = spark.createDataFrame([(body,)], "body string")
+    if kind == "authn":
+        parsed = parse_authn(frame, "body", True if strict is None else strict)
+    else:
+        parsed = parse_authz(frame, "body", bool(strict))
+        parsed = parsed.withColumn("contextrequestjson", F.to_json("contextrequestjson"))
+    parsed = parsed.withColumn("created", F.unix_micros("created"))
+    row = parsed.withColumn("errors", errors_map(F.col("problems"))).first().asDict()
+    if row["created"] is not None:
+        row["created"] = utc(1970, 1, 1) + dt.timedelta(microseconds=row["created"])
+    return row
+
+
+def test_authentication_sample(spark):
+    row = read(spark, text(AUTHN) + "\n")
+    assert row["errors"] == {}
+    assert row["created"] == utc(2023, 9, 7, 6, 24, 43, 971899)
+    assert (row["userid"], row["eventtypeid"], row["authenticationmethodid"]) == (20000003, 1, 1)
+    assert (row["authenticationlevelid"], row["isauthenticated"]) == (4, False)
+    others = "sessionid externalsessionid subscriptionkey externaltokenissuer supplierid orgnumber ipaddress"
+    assert all(row[c] is None for c in others.split())
+
+
+def test_authorization_sample(spark):
+    row = read(spark, text(AUTHZ), "authz")
+    assert row["errors"] == {}
+    assert row["created"] == utc(2018, 5, 15, 2, 5)
+    assert (row["subjectuserid"], row["resourcepartyid"], row["decision"]) == (2000000, 1000, 0)
+    assert (row["operation"], row["ipaddress"]) == ("read", "192.0.2.1")
+    assert json.loads(row["contextrequestjson"]) == CONTEXT
+
+
+@pytest.mark.parametrize(
+    "body",
+    ["null", "[]", "[{}]", "5", '"text"', "hello", "", "  ", "{", '{"UserId":1', "{'UserId':1}", '{"UserId":NaN}',
+     '{"UserId":1,}', '{"UserId":01}', '{"UserId":1} x', '{"UserId":1}{}', '{"UserId":1},{}', '{"UserId":1}]',
+     '{"UserId":/**/1}', '{"SessionId":"a\nb"}', "﻿{}"],
+)
+@pytest.mark.parametrize("strict", [True, False])
+def test_not_an_object(spark, body, strict):
+    row = read(spark, body, strict=strict)
+    assert list(row["errors"]) == ["not_object"]
+    assert row["eventtypeid"] is None and row["isauthenticated"] is None
+
+
+def test_missing_document(spark):
+    assert list(read(spark, None)["errors"]) == ["not_object"]
+
+
+FIELD_CASES = [
+    # field, JSON given, column, strict outcome, lenient outcome (value, or error code in a list)
+    ("UserId", "7", "userid", 7, 7),
+    ("UserId", "-7", "userid", -7, -7),
+    ("UserId", "null", "userid", None, None),
+    ("UserId", '"7"', "userid", ["bad_int"], 7),
+    ("UserId", '"-7"', "userid", ["bad_int"], -7),
+    ("UserId", '"7 "', "userid", ["bad_int"], ["bad_int"]),
+    ("UserId", '""', "userid", ["bad_int"], ["bad_int"]),
+    ("UserId", "1.5", "userid", ["bad_int"], ["bad_int"]),
+    ("UserId", "1.0", "userid", ["bad_int"], ["bad_int"]),
+    ("UserId", "1e3", "userid", ["bad_int"], ["bad_int"]),
+    ("UserId", "true", "userid", ["bad_int"], ["bad_int"]),
+    ("UserId", "{}", "userid", ["bad_int"], ["bad_int"]),
+    ("UserId", "2147483647", "userid", 2147483647, 2147483647),
+    ("UserId", "2147483648", "userid", ["bad_int"], ["bad_int"]),
+    ("UserId", "99999999999999999999", "userid", ["bad_int"], ["bad_int"]),
+    ("SessionId", '"a"', "sessionid", "a", "a"),
+    ("SessionId", '""', "sessionid", "", ""),
+    ("SessionId", '" "', "sessionid", " ", " "),
+    ("SessionId", '"a\\u00e6\\"b"', "sessionid", 'aæ"b', 'aæ"b'),
+    ("SessionId", '"12"', "sessionid", "12", "12"),
+    ("SessionId", '"true"', "sessionid", "true", "true"),
+    ("SessionId", '"{}"', "sessionid", "{}", "{}"),
+    ("SessionId", "null", "sessionid", None, None),
+    ("SessionId", "12", "sessionid", ["bad_string"], ["bad_string"]),
+    ("SessionId", "1.5e-3", "sessionid", ["bad_string"], ["bad_string"]),
+    ("SessionId", "true", "sessionid", ["bad_string"], ["bad_string"]),
+    ("SessionId", '{"a":\n1}', "sessionid", ["bad_string"], ["bad_string"]),
+    ("SessionId", '["a"]', "sessionid", ["bad_string"], ["bad_string"]),
+    ("EventType", '"Refresh"', "eventtypeid", 2, 2),
+    ("EventType", '"rEFRESH"', "eventtypeid", 2, 2),
+    ("EventType", '" Logout "', "eventtypeid", 4, 4),
+    ("EventType", "3", "eventtypeid", 3, 3),
+    ("EventType", '"3"', "eventtypeid", 3, 3),
+    ("EventType", "77", "eventtypeid", 77, 77),
+    ("EventType", '"Login"', "eventtypeid", ["bad_enum"], ["bad_enum"]),
+    ("EventType", '""', "eventtypeid", ["bad_enum"], ["bad_enum"]),
+    ("EventType", "1.0", "eventtypeid", ["bad_enum"], ["bad_enum"]),
+    ("EventType", "true", "eventtypeid", ["bad_enum"], ["bad_enum"]),
+    ("EventType", "null", "eventtypeid", ["bad_enum"], ["bad_enum"]),
+    ("AuthenticationMethod", "null", "authenticationmethodid", None, None),
+    ("AuthenticationMethod", '"MaskinPorten"', "authenticationmethodid", 16, 16),
+    ("AuthenticationMethod", '"EnterpriseMaskinportenIdentified"', "authenticationmethodid", ["bad_enum"], ["bad_enum"]),
+    ("AuthenticationMethod", "-1", "authenticationmethodid", -1, -1),
+    ("AuthenticationLevel", '"SelfIdentifed"', "authenticationlevelid", 0, 0),
+    ("AuthenticationLevel", '"SelfIdentified"', "authenticationlevelid", ["bad_enum"], ["bad_enum"]),
+    ("IsAuthenticated", "true", "isauthenticated", True, True),
+    ("IsAuthenticated", "false", "isauthenticated", False, False),
+    ("IsAuthenticated", '"true"', "isauthenticated", ["bad_bool"], ["bad_bool"]),
+    ("IsAuthenticated", "1", "isauthenticated", ["bad_bool"], ["bad_bool"]),
+    ("IsAuthenticated", "null", "isauthenticated", ["bad_bool"], ["bad_bool"]),
+    ("Created", '"2024-01-01T10:00:00Z"', "created", utc(2024, 1, 1, 10), utc(2024, 1, 1, 10)),
+    ("Created", '"2024-01-01T10:00:00"', "created", utc(2024, 1, 1, 10), utc(2024, 1, 1, 10)),
+    ("Created", '"2024-01-01T10:00:00+02:00"', "created", utc(2024, 1, 1, 8), utc(2024, 1, 1, 8)),
+    ("Created", '"2024-01-01T10:00:00-0530"', "created", ["bad_created"], ["bad_created"]),
+    ("Created", '"2024-01-01T10:00:00.1234567Z"', "created", utc(2024, 1, 1, 10, 0, 0, 123456), utc(2024, 1, 1, 10, 0, 0, 123456)),
+    ("Created", '"2024-01-01T10:00Z"', "created", utc(2024, 1, 1, 10), utc(2024, 1, 1, 10)),
+    ("Created", '"2024-01-01T10:00"', "created", utc(2024, 1, 1, 10), utc(2024, 1, 1, 10)),
+    ("Created", '"2024-01-01T10:00+01:00"', "created", utc(2024, 1, 1, 9), utc(2024, 1, 1, 9)),
+    ("Created", '"2024-01-01"', "created", utc(2024, 1, 1), utc(2024, 1, 1)),
+    ("Created", "null", "created", None, None),
+    ("Created", '"2024-02-30"', "created", ["bad_created"], ["bad_created"]),
+    ("Created", '"2024-01-01 10:00:00"', "created", ["bad_created"], ["bad_created"]),
+    ("Created", '"2024"', "created", ["bad_created"], ["bad_created"]),
+    ("Created", "2024", "created", ["bad_created"], ["bad_created"]),
+    ("Created", '"today"', "created", ["bad_created"], ["bad_created"]),
+]
+
+
+@pytest.fixture(scope="module")
+def field_results(spark):
+    """All field cases in two jobs."""
+    results = {}
+    rows = [(i, f'{{"{name}":{given}}}') for i, (name, given, *_) in enumerate(FIELD_CASES)]
+    frame = spark.createDataFrame(rows, "i int, body string")
+    for strict in (True, False):
+        parsed = parse_authn(frame, "body", strict).withColumn("created", F.unix_micros("created"))
+        for row in parsed.withColumn("errors", errors_map(F.col("problems"))).collect():
+            values = row.asDict()
+            if values["created"] is not None:
+                values["created"] = utc(1970, 1, 1) + dt.timedelta(microseconds=values["created"])
+            results[row.i, strict] = values
+    return results
+
+
+@pytest.mark.parametrize("strict", [True, False], ids=["strict", "lenient"])
+@pytest.mark.parametrize("number", range(len(FIELD_CASES)), ids=[f"{c[0]}={c[1]}" for c in FIELD_CASES])
+def test_field(field_results, number, strict):
+    name, _, column, *outcomes = FIELD_CASES[number]
+    expected = outcomes[0] if strict else outcomes[1]
+    row = field_results[number, strict]
+    if isinstance(expected, list):
+        assert row["errors"] == {expected[0]: name}
+        assert row[column] is None
+    else:
+        assert row["errors"] == {}
+        assert row[column] == expected
+
+
+def test_key_case(spark):
+    body = '{"USERID":1,"created":"2024-01-01"}'
+    strict, lenient = read(spark, body), read(spark, body, strict=False)
+    assert strict["userid"] is None and strict["created"] is None
+    assert lenient["userid"] == 1 and lenient["created"] == utc(2024, 1, 1)
+
+
+def test_last_of_repeated_keys_wins(spark):
+    assert read(spark, '{"UserId":1,"UserId":2}')["userid"] == 2
+    assert read(spark, '{"UserId":1,"userid":2}')["userid"] == 1
+    assert read(spark, '{"UserId":1,"userid":2}', strict=False)["userid"] == 2
+    assert read(spark, '{"userid":1,"UserId":2}', strict=False)["userid"] == 2
+
+
+def test_several_problems_name_their_fields(spark):
+    row = read(spark, '{"UserId":"x","OrgNumber":1.5,"SessionId":1,"IpAddress":{}}')
+    assert row["errors"] == {"bad_int": "UserId OrgNumber", "bad_string": "SessionId IpAddress"}
+
+
+@pytest.mark.parametrize(
+    "given, expected",
+    [
+        ('{"a":1}', '{"a":1}'),
+        ('"{\\"a\\":1}"', '{"a":1}'),
+        ('"{\\"a\\":\\"{}\\"}"', '{"a":"{}"}'),
+        ('"\\"{}\\""', '"{}"'),
+        ('"no json"', '"no json"'),
+        ("[1]", "[1]"),
+        ('{"b":1,"a":2,"b":3}', '{"a":2,"b":3}'),
+        ("null", None),
+    ],
+)
+@pytest.mark.parametrize("strict", [True, False])
+def test_context(spark, given, expected, strict):
+    row = read(spark, f'{{"ContextRequestJson":{given}}}', "authz", strict)
+    assert row["contextrequestjson"] == expected
+
+
+def test_context_given_as_text_equals_context_given_as_json(spark):
+    as_json = read(spark, text(AUTHZ), "authz")
+    as_text = read(spark, text(AUTHZ, ContextRequestJson=json.dumps(CONTEXT)), "authz")
+    assert {**as_text, "body": None} == {**as_json, "body": None}
+
+
+def test_conform_authz(spark):
+    frame = spark.createDataFrame([(text(AUTHZ, SessionId="", SubjectOrgCode=" "),)], "json string")
+    row = conform(parse_authz(frame), "authz").first()
+    assert row.decision == 1 and row.sessionid is None and row.subjectorgcode == " "
+    assert "problems" not in row.asDict()
+
+
+def test_authn_export(spark):
+    frame = spark.createDataFrame([(text(AUTHN),)], "body string")
+    exported = json.loads(authn_to_json(conform(parse_authn(frame), "authn")).first().json)
+    assert list(exported)[:4] == ["sessionId", "externalSessionId", "externalTokenIssuer", "created"]
+    assert exported["created"] == "2023-09-07T06:24:43.971899+00:00"
+    assert exported["eventType"] == 1 and exported["orgNumber"] is None and len(exported) == 13
+
+
+def test_exported_event_reads_back(spark):
+    frame = spark.createDataFrame([(text(AUTHN, SessionId="s", OrgNumber=5),)], "body string")
+    events = conform(parse_authn(frame), "authn")
+    again = parse_authn(authn_to_json(events).select("json"), "json", strict=False)
+    assert conform(again, "authn").collect() == events.collect()

@@ -857,16 +857,17 @@ RETENTIONS = (0, 1, 2, 3, 22, 23, 24)
     "f7_partitions_to_drop",
     f"""SELECT as_of, retention_months, {_describe_sql('m')} FROM (
           SELECT as_of, retention_months, CAST({MONTH.format('as_of')} - INTERVAL 1 MONTH * n AS DATE) AS m
-          FROM {ORDER_DAYS} d
+          FROM (SELECT max(CAST(o_orderdate AS DATE)) AS as_of FROM orders GROUP BY date_trunc('month', o_orderdate)) d
           CROSS JOIN (VALUES {', '.join(f'({n})' for n in RETENTIONS)}) AS r(retention_months)
           CROSS JOIN range(0, 24) AS b(n)
           WHERE n > retention_months) p
         CROSS JOIN (VALUES ('authentication'), ('authz')) AS s(schema_name)""",
 )
 def f7_partitions_to_drop(spark, sf_dir):
-    """Drop lists of every day that has orders, for several retention times."""
+    """Drop lists of the last day with orders in every month, for several retention times."""
     kept = F.explode(F.array(*[F.lit(n) for n in RETENTIONS]))
-    days = _order_days(spark, sf_dir).withColumn("retention_months", kept)
+    by_month = _orders(spark, sf_dir).groupBy(months.month_start(F.col("created")).alias("month"))
+    days = by_month.agg(F.max(F.to_date("created")).alias("as_of")).withColumn("retention_months", kept)
     return partitions.partitions_to_drop(days, F.col("retention_months"), ("as_of", "retention_months"))
 
 
