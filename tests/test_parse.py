@@ -50,17 +50,27 @@ def test_authorization_sample(spark):
     assert json.loads(row["contextrequestjson"]) == CONTEXT
 
 
-@pytest.mark.parametrize(
-    "body",
-    ["null", "[]", "[{}]", "5", '"text"', "hello", "", "  ", "{", '{"UserId":1', "{'UserId':1}", '{"UserId":NaN}',
-     '{"UserId":1,}', '{"UserId":01}', '{"UserId":1} x', '{"UserId":1}{}', '{"UserId":1},{}', '{"UserId":1}]',
-     '{"UserId":/**/1}', '{"SessionId":"a\nb"}', "﻿{}"],
-)
+NO_OBJECTS = [
+    "null", "[]", "[{}]", "5", '"text"', "hello", "", "  ", "{", '{"UserId":1', "{'UserId':1}", '{"UserId":NaN}',
+    '{"UserId":1,}', '{"UserId":01}', '{"UserId":1} x', '{"UserId":1}{}', '{"UserId":1},{}', '{"UserId":1}]',
+    '{"UserId":/**/1}', '{"SessionId":"a\nb"}', "\ufeff{}", '{"UserId":1}}', "{},null", "NULL", "{]",
+]
+
+
 @pytest.mark.parametrize("strict", [True, False])
-def test_not_an_object(spark, body, strict):
-    row = read(spark, body, strict=strict)
-    assert list(row["errors"]) == ["not_object"]
-    assert row["eventtypeid"] is None and row["isauthenticated"] is None
+def test_not_an_object(spark, strict):
+    frame = spark.createDataFrame(list(enumerate(NO_OBJECTS)), "i int, body string")
+    parsed = parse_authn(frame, "body", strict)
+    found = parsed.select("body", F.map_keys(errors_map(F.col("problems"))).alias("codes"), "eventtypeid", "isauthenticated")
+    assert [tuple(row) for row in found.orderBy("i").collect()] == [
+        (body, ["not_object"], None, None) for body in NO_OBJECTS
+    ]
+
+
+def test_bytes_that_are_no_text(spark):
+    frame = spark.createDataFrame([(b'{"SessionId":"\xff"}',)], "raw binary")
+    parsed = parse_authn(frame.select(F.col("raw").cast("string").alias("body")))
+    assert parsed.first().problems == "not_object:body"
 
 
 def test_missing_document(spark):
