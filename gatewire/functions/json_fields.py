@@ -50,11 +50,9 @@ def ignore_key_case(document: Column) -> Column:
     return F.transform_keys(document, lambda key, _: F.lower(key))
 
 
-def exact_types(text: Column, strict: bool) -> Column:
-    """The document as ``map<string, variant>``, which knows the JSON type of every field."""
-    document = only_document(candidate_documents(text, "map<string,variant>"))
-    # Equal keys stay in a parsed map until it is rebuilt.
-    return F.transform_keys(document, lambda key, _: key if strict else F.lower(key))
+def rebuild(document: Column) -> Column:
+    """Map document in which the last of equal keys is left; parsing alone keeps them all."""
+    return F.transform_keys(document, lambda key, _: key)
 
 
 @dataclass(frozen=True)

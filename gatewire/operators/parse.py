@@ -16,11 +16,11 @@ from gatewire.functions.json_fields import (
     FieldType,
     candidate_documents,
     choice,
-    exact_types,
     ignore_key_case,
     json_or_text,
     maybe_not_text,
     only_document,
+    rebuild,
 )
 from gatewire.functions.problems import NO_PROBLEMS, add_problems, problem
 from gatewire.schemas import FACT_COLUMNS
@@ -164,18 +164,23 @@ def _read(
     found = [problem("not_object", {text: readable & ~F.col("_is_object")})]
     for code in dict.fromkeys(kind.code for kind in kinds.values()):
         found.append(problem(code, {names[c]: refused(c, kind) for c, kind in kinds.items() if kind.code == code}))
-    return (
+    parsed_events = (
         messages.withColumn("_source", F.when(readable, F.col(text)))
         .withColumn("_documents", candidate_documents(F.col("_source"), parsed))
         .withColumn("_document", only_document(F.col("_documents")))
         .withColumn("_document", opened)
         .withColumns({f"_variant_{c}": field(c) for c in variants} | {"_is_object": document.isNotNull()})
         .withColumns({f"_text_{c}": x for c, x in texts.items()} | {f"_present_{c}": x for c, x in present.items()})
-        .withColumn("_exact", F.when(in_doubt, exact_types(F.col("_source"), strict)))
+        .withColumn("_exact", candidate_documents(F.when(in_doubt, F.col("_source")), "map<string,variant>"))
+        .withColumn("_exact", only_document(F.col("_exact")))
+        .withColumn("_exact", rebuild(F.col("_exact")) if strict else ignore_key_case(F.col("_exact")))
         .withColumns({c: value(c, kind) for c, kind in kinds.items()})
         .withColumn("problems", add_problems(F.col("problems"), *found))
-        .select(*kept, *kinds, *[F.col(f"_text_{c}").alias(c) for c in verbatim])
     )
+    # Catalyst would put a later filter on these columns below all the steps above and so repeat
+    # the parsing for every column it mentions. It doesn't look through a generator.
+    event = F.struct(*kinds, *[F.col(f"_text_{c}").alias(c) for c in verbatim], "problems")
+    return parsed_events.select(*[c for c in kept if c != "problems"], F.inline(F.array(event)))
 
 
 def empty_to_null(events: DataFrame, columns: list[str]) -> DataFrame:

@@ -233,13 +233,36 @@ def authz_documents_sql(dialect: dict[str, str]) -> str:
     """
 
 
+def _splits(spark: SparkSession, path: str) -> int:
+    """Scan tasks that a Parquet file gives, found without running a job."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _split_counts:
+        _split_counts[key] = spark.read.parquet(path).rdd.getNumPartitions()
+    return _split_counts[key]
+
+
+_split_counts: dict[tuple[str, str], int] = {}
+
+
+def _spread_hint(spark: SparkSession, path: str) -> str:
+    """Small tables come as one file and would keep one core busy; large input is left alone."""
+    cores = spark.sparkContext.defaultParallelism
+    return f"/*+ REPARTITION({cores}) */" if _splits(spark, path) < cores else ""
+
+
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run feed SQL straight on the Parquet files, without leaving views behind."""
-    return spark.sql(sql.replace("FROM events", f"FROM parquet.`{sf_dir}/events.parquet`"))
+    path = f"{sf_dir}/events.parquet"
+    rows = f"(SELECT {_spread_hint(spark, path)} * FROM parquet.`{path}`)"
+    return spark.sql(sql.replace("FROM events", f"FROM {rows}"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A given table; ``spread`` is for queries with much work per row."""
+    path = f"{sf_dir}/{name}.parquet"
+    if spread:
+        return spark.sql(f"SELECT {_spread_hint(spark, path)} * FROM parquet.`{path}`")
+    return spark.read.parquet(path)
 
 
 def authn_events(spark: SparkSession, sf_dir: str) -> DataFrame:

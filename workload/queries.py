@@ -30,7 +30,7 @@ from gatewire.operators.parse import (
     parse_authz,
     stored_decision,
 )
-from gatewire.plans.ingest import check_authn, check_authz, check_authz_documents
+from gatewire.plans.ingest import accepted, check_authn, check_authz, check_authz_documents
 from gatewire.plans.maintenance import maintain, run_maintenance
 from gatewire.schemas import AUTHN_COLUMNS, AUTHZ_COLUMNS, CATALOG_DDL
 from gatewire.session import configure, scratch_dir
@@ -437,7 +437,7 @@ def b4_base64(spark, sf_dir):
         .when(case == 5, F.regexp_replace(encoded, "(.{60})", "$1\n"))
         .otherwise(encoded)
     )
-    messages = feeds.table(spark, sf_dir, "documents").select("doc_id", body.cast("binary").alias("body"))
+    messages = feeds.table(spark, sf_dir, "documents", spread=True).select("doc_id", body.cast("binary").alias("body"))
     content = messages.select("doc_id", env.strict_base64(F.col("body")).alias("content"))
     return content.select("doc_id", F.length("content").alias("n_bytes"), F.md5("content").alias("content_md5"))
 
@@ -482,7 +482,7 @@ def b7_version_dispatch(spark, sf_dir):
 )
 def b8_brotli(spark, sf_dir):
     """Whole texts, compressed and decompressed; some streams lack their end."""
-    packed = feeds.table(spark, sf_dir, "documents").select(
+    packed = feeds.table(spark, sf_dir, "documents", spread=True).select(
         "doc_id", brotli_compress(F.col("text").cast("binary")).alias("packed")
     )
     cut = F.substring("packed", F.lit(1), F.length("packed") - 5)
@@ -577,7 +577,7 @@ def d5_variant(spark, sf_dir):
         F.col("event_id").cast("string"),
         F.lit('"}'),
     )
-    documents = feeds.table(spark, sf_dir, "events").select("event_id", json_or_text(text).alias("doc"))
+    documents = feeds.table(spark, sf_dir, "events", spread=True).select("event_id", json_or_text(text).alias("doc"))
     return documents.select(
         "event_id",
         F.try_variant_get("doc", "$.a", "string").alias("outer_key"),
@@ -595,7 +595,7 @@ def d5_variant(spark, sf_dir):
         FROM events""",
 )
 def d6_created_utc(spark, sf_dir):
-    events = feeds.table(spark, sf_dir, "events")
+    events = feeds.table(spark, sf_dir, "events", spread=True)
     micro = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     case = F.col("event_id") % 6
     text = (
@@ -638,7 +638,7 @@ def d8_defaults(spark, sf_dir):
         .when(F.col("event_id") % 3 == 1, F.lit("{}"))
         .otherwise(F.lit('{"EventType":null,"IsAuthenticated":null}'))
     )
-    parsed = parse_authn(feeds.table(spark, sf_dir, "events").select("event_id", body.alias("body")))
+    parsed = parse_authn(feeds.table(spark, sf_dir, "events", spread=True).select("event_id", body.alias("body")))
     return parsed.select("event_id", "eventtypeid", "isauthenticated", _error_codes(errors_map(F.col("problems"))))
 
 
@@ -702,6 +702,50 @@ def e10_validate_authz(spark, sf_dir):
     return checked.select("msg_id", _error_codes(F.col("errors")))
 
 
+def _register_rule(name: str, kind: str, code: str, field: str) -> None:
+    """Messages that break one rule, with the field the reason names."""
+    source, readable, errors = (
+        (AUTHN, AUTHN_READABLE, AUTHN_ERRORS) if kind == "authn" else (AUTHZ, AUTHZ_READABLE, AUTHZ_ERRORS)
+    )
+    broken = f"NOT ({readable})" if code == "not_object" else f"{readable} AND {errors.get(code)}"
+
+    @query(name, f"SELECT event_id AS msg_id, '{field}' AS field FROM ({source}) WHERE {broken}")
+    def rule(spark, sf_dir):
+        dimensions, open_months = current_dimensions(spark), _catalog(spark, EVENTS_DAY)
+        if kind == "authn":
+            checked = check_authn(feeds.stored(spark, sf_dir, "authn_messages"), dimensions, open_months)
+        else:
+            documents = feeds.stored(spark, sf_dir, "authz_documents").withColumnRenamed("json", "body")
+            checked = check_authz_documents(documents, dimensions, open_months)
+        return checked.where(F.map_contains_key("errors", code)).select("msg_id", F.col("errors")[code].alias("field"))
+
+
+_register_rule("e1_not_object", "authn", "not_object", "body")
+_register_rule("e2_created_missing", "authn", "created_missing", "Created")
+_register_rule("e3_operation_missing", "authz", "operation_missing", "Operation")
+_register_rule("e4_context_not_object", "authz", "context_not_object", "ContextRequestJson")
+_register_rule("e5_decision_missing", "authz", "decision_missing", "Decision")
+_register_rule("e6_decision_range", "authz", "decision_range", "Decision")
+_register_rule("e7_bad_int", "authn", "bad_int", "UserId")
+_register_rule("e8_uuid_too_long", "authz", "uuid_too_long", "SubjectPartyUuid")
+
+
+@query(
+    "e9_not_null",
+    f"""SELECT count(*) AS n_rows, count(*) AS n_created, count(*) AS n_isauthenticated
+        FROM ({AUTHN}) WHERE {AUTHN_OUTCOME} = ''""",
+)
+def e9_not_null(spark, sf_dir):
+    """Accepted events always have the two columns that may not be NULL."""
+    messages = feeds.stored(spark, sf_dir, "authn_messages")
+    checked = check_authn(messages, current_dimensions(spark), _catalog(spark, EVENTS_DAY))
+    return accepted(checked, "authn").agg(
+        F.count("*").alias("n_rows"),
+        F.count("created").alias("n_created"),
+        F.count("isauthenticated").alias("n_isauthenticated"),
+    )
+
+
 def _register_reference_check(name: str, code: str, events_sql: str, column_sql: str) -> None:
     ref = lookups.reference(code)
 
@@ -1051,8 +1095,8 @@ def s1_stream_authn(spark, sf_dir):
 )
 def s2_stream_authz(spark, sf_dir):
     root = _stream(spark, feeds.stored_path(spark, sf_dir, "raw_messages"), "authz", EVENTS_DAY)
-    accepted = tables.read_accepted(spark, root, "authz")
-    return _plain_events(accepted, AUTHZ_COLUMNS, "created_month", *_context_reads())
+    stored = tables.read_accepted(spark, root, "authz")
+    return _plain_events(stored, AUTHZ_COLUMNS, "created_month", *_context_reads())
 
 
 @query(
