@@ -8,7 +8,7 @@ event's ``props``; values of 80 and above mark deliberately odd messages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewire import vocabulary as v
 from gatewire.functions.brotli import brotli_compress
@@ -299,11 +299,15 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     document = F.col("json").cast("binary")
     envelope = F.col("msg_id") % 8
     compressed = F.concat(F.lit(b"01"), F.col("_packed"))
+
+    def one_line(data: Column) -> Column:
+        return F.regexp_replace(F.base64(data), "[\r\n]", "").cast("binary")
+
     body = (
         F.when(envelope == 0, document)
-        .when(envelope == 1, F.base64(document).cast("binary"))
+        .when(envelope == 1, one_line(document))
         .when(envelope == 2, compressed)
-        .when(envelope == 3, F.base64(compressed).cast("binary"))
+        .when(envelope == 3, one_line(compressed))
         .when(envelope == 4, F.concat(F.lit(b"99"), document))
         .when(envelope == 5, F.lit(b"{"))
         .when(envelope == 6, F.concat(F.lit(b" "), document))
