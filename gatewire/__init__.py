@@ -15,8 +15,10 @@ from gatewire.sources.tables import (
     append_events,
     drop_months,
     read_accepted,
+    read_accepted_range,
     read_events,
     read_quarantine,
+    read_range,
     rewrite_by_year,
     write_checked,
 )

@@ -16,7 +16,12 @@ SEMANTIC_SETTINGS = {
 
 # The JVM leaves methods beyond 8000 bytes of bytecode to its interpreter, and the parsing of wide
 # documents makes long ones; with this limit Spark generates them in pieces instead.
-EXECUTION_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+EXECUTION_SETTINGS = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # An ingest task meets few months, so it keeps a file open for each instead of sorting its rows;
+    # one that meets more than this sorts after all.
+    "spark.sql.maxConcurrentOutputFileWriters": "6",
+}
 
 # Defaults for a session built here; a cluster's own settings win over them.
 TUNING_DEFAULTS = {

@@ -16,8 +16,10 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from gatewire.functions.months import month_start
+from gatewire.operators.readouts import time_range
 from gatewire.schemas import FACT_COLUMNS, QUARANTINE_DDL, fact_schema
 from gatewire.sources import folders
 
@@ -35,14 +37,21 @@ def append_events(events: DataFrame, path: str, rebalance: bool = False) -> None
     """
     rows = events.withColumn("created_month", month_start(F.col("created")))
     if rebalance:
-        rows = rows.hint("rebalance", F.col("created_month"))
+        rows = _grouped(rows, "created_month")
     rows.write.mode("append").partitionBy("created_month").parquet(path)
 
 
 def rewrite_by_year(events: DataFrame, path: str) -> None:
     """Store events in yearly chunks, the layout of the first table generation."""
-    rows = events.withColumn("created_year", F.year("created"))
-    rows.hint("rebalance", F.col("created_year")).write.mode("errorifexists").partitionBy("created_year").parquet(path)
+    rows = _grouped(events.withColumn("created_year", F.year("created")), "created_year")
+    rows.write.mode("errorifexists").partitionBy("created_year").parquet(path)
+
+
+def _grouped(rows: DataFrame, column: str) -> DataFrame:
+    """Bring rows of one folder together; only adaptive execution can cut a folder that is too large for a task."""
+    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+        return rows
+    return rows.hint("rebalance", F.col(column))
 
 
 def write_checked(checked: DataFrame, root: str, kind: str, batch: str | None = None) -> None:
@@ -91,19 +100,42 @@ def read_events(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def read_range(spark: SparkSession, path: str, kind: str, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    """Events with ``start <= created < end``, listing the files of the months concerned only.
+
+    On a table with years of micro-batches the listing of all folders would take longer than the scan.
+    """
+    last = end - dt.timedelta(microseconds=1)
+    wanted = [
+        month for month in stored_months(spark, path) if start.date().replace(day=1) <= month <= last.date()
+    ]
+    schema = fact_schema(kind).add("created_month", "date")
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    paths = [f"{path}/created_month={month.isoformat()}" for month in wanted]
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*paths).select(*schema.names)
+    return time_range(rows, start, end)
+
+
 def read_accepted(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return _read_verdict(spark, root, "accepted", fact_schema(kind).add("created_month", "date"))
 
 
+def read_accepted_range(
+    spark: SparkSession, root: str, kind: str, start: dt.datetime, end: dt.datetime
+) -> DataFrame:
+    return read_range(spark, f"{root}/verdict=accepted", kind, start, end)
+
+
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
-    return _read_verdict(spark, root, "rejected", QUARANTINE_DDL)
+    return _read_verdict(spark, root, "rejected", StructType.fromDDL(QUARANTINE_DDL))
 
 
-def _read_verdict(spark: SparkSession, root: str, verdict: str, schema) -> DataFrame:
+def _read_verdict(spark: SparkSession, root: str, verdict: str, schema: StructType) -> DataFrame:
     folder = f"{root}/verdict={verdict}"
     if not folders.exists(spark, folder):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
+    return spark.read.schema(schema).parquet(folder).select(*schema.names)
 
 
 def drop_months(spark: SparkSession, path: str, months: list[dt.date]) -> list[str]:

@@ -126,6 +126,27 @@ def test_time_range_prunes_folders_and_is_half_open(spark, tmp_path):
     assert "GreaterThanOrEqual(created" in physical.split("PushedFilters: [")[1]
 
 
+def test_range_reads_only_its_months(spark, dimensions, tmp_path):
+    documents = [text(AUTHN, SessionId=day, Created=f"{day}T10:00:00Z") for day in ("2023-08-01", "2023-09-30", "2023-10-01")]
+    checked = check_authn(authn_messages(spark, documents), dimensions, catalog(spark))
+    gatewire.write_checked(checked, str(tmp_path), "authn", "b1")
+    gatewire.write_checked(checked, str(tmp_path), "authn", "b2")
+    found = gatewire.read_accepted_range(spark, str(tmp_path), "authn", dt.datetime(2023, 9, 1), dt.datetime(2023, 10, 1))
+    assert [r.sessionid for r in found.collect()] == ["2023-09-30"] * 2
+    assert all("created_month=2023-09-01" in path for path in found.inputFiles())
+    assert found.columns[-1] == "created_month"
+    none = gatewire.read_accepted_range(spark, str(tmp_path), "authn", dt.datetime(2022, 1, 1), dt.datetime(2023, 1, 1))
+    assert none.count() == 0
+
+
+def test_many_months_in_one_task(spark, tmp_path):
+    """More months than files a task keeps open at a time."""
+    days = spark.range(0, 3000, 1, 1).select(F.timestamp_seconds(F.col("id") * 86400).alias("created"))
+    gatewire.append_events(days, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path)).distinct().count() == 3000
+    assert len(tables.stored_months(spark, str(tmp_path))) == 99
+
+
 def test_partition_stats_show_empty_months(spark):
     events = readouts.with_month(times(spark, "2023-09-03", "2023-09-01", "2023-10-31"))
     rows = readouts.partition_stats(events, catalog(spark).where("schema_name = 'authz'")).collect()
