@@ -343,23 +343,26 @@ def a7_dim_seed(spark, sf_dir):
     root = scratch_dir(spark, "a7") + "/dimensions"
     save_dimensions(seed_dimensions(spark), root)
     dimensions = load_dimensions(spark, root)
-    authn, authz = feeds.authn_events(spark, sf_dir), feeds.authz_events(spark, sf_dir)
-    ids = {
-        "authenticationeventtype": authn.select(F.col("eventtypeid").alias("id")),
-        "authenticationlevel": authn.select(F.col("authenticationlevelid").alias("id")),
-        "authenticationmethod": authn.select(F.col("authenticationmethodid").alias("id")),
-        "decision": authz.select(stored_decision(F.col("decision")).alias("id")),
-    }
-    parts = [
-        rows.join(ids[name].groupBy("id").agg(F.count("*").alias("n")), "id", "left").select(
-            F.lit(name).alias("dimension"), "id", "name", "description", F.coalesce("n", F.lit(0)).alias("n_events")
-        )
-        for name, rows in dimensions.items()
-    ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    authn = feeds.authn_events(spark, sf_dir)
+    authz = feeds.authz_events(spark, sf_dir).withColumn("decision", stored_decision(F.col("decision")))
+
+    def references(events: DataFrame, kind: str) -> DataFrame:
+        """Dimension and id of every reference, all from one pass over the events."""
+        pairs = [
+            F.struct(F.lit(ref.dimension).alias("dimension"), F.col(ref.column).alias("id"))
+            for ref in lookups.REFERENCES[kind]
+        ]
+        return events.select(F.inline(F.array(*pairs)))
+
+    used = references(authn, "authn").unionByName(references(authz, "authz"))
+    counts = used.groupBy("dimension", "id").agg(F.count("*").alias("n"))
+    rows = None
+    for name, dimension in dimensions.items():
+        part = dimension.select(F.lit(name).alias("dimension"), "id", "name", "description")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.join(counts, ["dimension", "id"], "left").select(
+        "dimension", "id", "name", "description", F.coalesce("n", F.lit(0)).alias("n_events")
+    )
 
 
 @query(
@@ -451,15 +454,16 @@ def b5_base64_versioned(spark, sf_dir):
     return opened.where((F.col("message_class") == env.BASE64) & F.col("version").isNotNull()).select("msg_id", "version")
 
 
+# 'null' without an envelope is read as base64 and becomes three bytes of no meaning.
 @query(
     "b6_legacy",
-    f"SELECT msg_id, md5(json) AS json_md5 FROM ({AUTHZ_DOCUMENTS}) WHERE msg_id % 8 = 1 OR (msg_id % 8 = 0 AND k <> 90)",
+    f"""SELECT msg_id, CASE WHEN k = 90 AND msg_id % 8 <> 1 THEN md5(from_base64('null')) ELSE md5(json) END AS json_md5
+        FROM ({AUTHZ_DOCUMENTS}) WHERE msg_id % 8 IN (0, 1) OR (msg_id % 8 = 6 AND k = 90)""",
 )
 def b6_legacy(spark, sf_dir):
     opened = unwrap(drop_short(feeds.stored(spark, sf_dir, "raw_messages")))
     legacy = opened.where(F.col("version").isNull() & F.col("content").isNotNull())
-    # 'null' without an envelope is read as base64 and becomes three bytes of no meaning.
-    return legacy.where(F.length("content") > 3).select("msg_id", F.md5("content").alias("json_md5"))
+    return legacy.select("msg_id", F.md5("content").alias("json_md5"))
 
 
 @query(
@@ -609,19 +613,27 @@ def d6_created_utc(spark, sf_dir):
     return events.select("event_id", parse_created(text).cast("timestamp_ntz").alias("created"))
 
 
+EMPTY_TO_NULL_TEXTS = list(dict.fromkeys([*AUTHN_TEXTS, *AUTHZ_TEXTS]))
+
+
+def _emptied(kind: str, texts, source: str) -> str:
+    columns = ", ".join(
+        (f"NULLIF({c}, '')" if c in texts else "CAST(NULL AS STRING)") + f" AS {c}" for c in EMPTY_TO_NULL_TEXTS
+    )
+    return f"SELECT event_id, '{kind}' AS kind, {columns} FROM ({source})"
+
+
 @query(
     "d7_empty_to_null",
-    f"""SELECT event_id, {', '.join(f"NULLIF(n.{c}, '') AS authn_{c}" for c in AUTHN_TEXTS)},
-          {', '.join(f"NULLIF(z.{c}, '') AS authz_{c}" for c in AUTHZ_TEXTS)}
-        FROM ({AUTHN}) n JOIN ({AUTHZ}) z USING (event_id)""",
+    f"{_emptied('authn', AUTHN_TEXTS, AUTHN)} UNION ALL {_emptied('authz', AUTHZ_TEXTS, AUTHZ)}",
 )
 def d7_empty_to_null(spark, sf_dir):
-    def cleaned(events: DataFrame, texts, prefix: str) -> DataFrame:
-        events = empty_to_null(events, list(texts))
-        return events.select("event_id", *[F.col(c).alias(f"{prefix}_{c}") for c in texts])
+    def cleaned(events: DataFrame, kind: str, texts) -> DataFrame:
+        return empty_to_null(events, list(texts)).select("event_id", F.lit(kind).alias("kind"), *texts)
 
-    authn = cleaned(feeds.authn_events(spark, sf_dir), AUTHN_TEXTS, "authn")
-    return authn.join(cleaned(feeds.authz_events(spark, sf_dir), AUTHZ_TEXTS, "authz"), "event_id")
+    authn = cleaned(feeds.authn_events(spark, sf_dir), "authn", AUTHN_TEXTS)
+    authz = cleaned(feeds.authz_events(spark, sf_dir), "authz", AUTHZ_TEXTS)
+    return authn.unionByName(authz, allowMissingColumns=True)
 
 
 @query(
@@ -775,11 +787,8 @@ _register_reference_check("c4_fk_decision", "fk_decision", AUTHZ, "decision + 1"
        FROM orders""",
 )
 def c5_route(spark, sf_dir):
-    orders = _orders(spark, sf_dir)
-    fits, others = lookups.route(orders, _catalog(spark, ORDERS_DAY), v.AUTHN_SCHEMA)
-    return fits.select("o_orderkey", F.lit(True).alias("has_partition")).unionByName(
-        others.select("o_orderkey", F.lit(False).alias("has_partition"))
-    )
+    flagged = lookups.flag_unroutable(_orders(spark, sf_dir), _catalog(spark, ORDERS_DAY), v.AUTHN_SCHEMA)
+    return flagged.select("o_orderkey", (~F.col("no_partition")).alias("has_partition"))
 
 
 @query(
@@ -801,16 +810,14 @@ def c6_decode_authn(spark, sf_dir):
 
 @query(
     "c6_decode_authz",
-    f"""SELECT e.event_id, e.decision + 1 AS decision, d.name AS decision_name, d.description
+    f"""SELECT e.event_id, e.decision + 1 AS decision, d.name AS decision_name
         FROM ({AUTHZ}) e
         LEFT JOIN (SELECT * FROM {DIMENSION_SQL['decision']}) d ON d.id = e.decision + 1""",
 )
 def c6_decode_authz(spark, sf_dir):
-    dimensions = current_dimensions(spark)
     events = conform(feeds.authz_events(spark, sf_dir), "authz", ("event_id",))
-    named = lookups.decode_names(events, "authz", dimensions)
-    texts = dimensions["decision"].select(F.col("name").alias("decision_name"), "description")
-    return named.join(texts, "decision_name", "left").select("event_id", "decision", "decision_name", "description")
+    named = lookups.decode_names(events, "authz", current_dimensions(spark))
+    return named.select("event_id", "decision", "decision_name")
 
 
 # --- partitions and retention -------------------------------------------------
@@ -974,17 +981,16 @@ def f12_yearly_chunks(spark, sf_dir):
 
 @query(
     "g1_add_column",
-    f"""SELECT sessionid, created, CASE WHEN event_id % 2 = 1 THEN subject_party_uuid END AS subject_party_uuid
-        FROM (SELECT event_id, created, {_select({'sessionid': "NULLIF(sessionid, '')",
-              'subject_party_uuid': "NULLIF(subject_party_uuid, '')"})} FROM ({AUTHZ}))""",
+    f"""SELECT NULLIF(sessionid, '') AS sessionid, created, NULLIF(subject_party_uuid, '') AS subject_party_uuid
+        FROM ({AUTHZ})
+        UNION ALL SELECT NULLIF(sessionid, ''), created, NULL FROM ({AUTHZ})""",
 )
 def g1_add_column(spark, sf_dir):
     """One table with files from before and after a column was added, read as one."""
     path = scratch_dir(spark, "g1") + "/events"
-    events = conform(feeds.authz_events(spark, sf_dir), "authz", ("event_id",))
-    older = F.col("event_id") % 2 == 0
-    tables.append_events(events.where(older).drop("event_id", "subject_party_uuid"), path)
-    tables.append_events(events.where(~older).drop("event_id"), path)
+    events = conform(feeds.authz_events(spark, sf_dir), "authz")
+    tables.append_events(events.drop("subject_party_uuid"), path)
+    tables.append_events(events, path)
     return tables.read_events(spark, path, "authz").select("sessionid", _plain("created"), "subject_party_uuid")
 
 
