@@ -55,7 +55,10 @@ def test_bounds(spark, day, start, end):
     assert row.first() == (start, end, f"eventlogv1_y{day.year}m{day.month:02}")
 
 
-@pytest.mark.parametrize("months, cutoff", [(0, D(2026, 4, 1)), (1, D(2026, 3, 1)), (2, D(2026, 2, 1)), (3, D(2026, 1, 1))])
+@pytest.mark.parametrize(
+    "months, cutoff",
+    [(0, D(2026, 4, 1)), (1, D(2026, 3, 1)), (2, D(2026, 2, 1)), (3, D(2026, 1, 1))],
+)
 def test_cutoff(spark, months, cutoff):
     assert spark.range(1).select(retention_cutoff(F.lit(D(2026, 4, 15)), months)).first()[0] == cutoff
 

@@ -64,7 +64,8 @@ def test_stream_equals_batch(spark, dimensions, tmp_path):
     got = ingest.accepted().select(*expected.columns)
     assert got.count() == 12
     printed = {"contextrequestjson": F.to_json("contextrequestjson")}
-    assert sorted(map(str, got.withColumns(printed).collect())) == sorted(map(str, expected.withColumns(printed).collect()))
+    rows, wanted = (sorted(map(str, frame.withColumns(printed).collect())) for frame in (got, expected))
+    assert rows == wanted
     refused = sorted((r.msg_id, str(r.errors)) for r in ingest.refused().collect())
     assert refused == sorted((r.msg_id, str(r.errors)) for r in gatewire.rejected(checked).collect())
     assert len(folders.matching(spark, f"{tmp_path}/out/verdict=accepted/created_month=*/ingest_batch=*")) > 1

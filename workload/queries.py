@@ -32,7 +32,7 @@ from gatewire.operators.parse import (
 )
 from gatewire.plans.ingest import accepted, check_authn, check_authz, check_authz_documents
 from gatewire.plans.maintenance import maintain, run_maintenance
-from gatewire.schemas import AUTHN_COLUMNS, AUTHZ_COLUMNS, CATALOG_DDL
+from gatewire.schemas import AUTHN_COLUMNS, AUTHZ_COLUMNS
 from gatewire.session import configure, scratch_dir
 from gatewire.sources import tables
 from gatewire.sources.catalog import load_catalog, save_catalog
@@ -451,7 +451,8 @@ def b4_base64(spark, sf_dir):
 )
 def b5_base64_versioned(spark, sf_dir):
     opened = unwrap(feeds.stored(spark, sf_dir, "raw_messages"))
-    return opened.where((F.col("message_class") == env.BASE64) & F.col("version").isNotNull()).select("msg_id", "version")
+    inner = (F.col("message_class") == env.BASE64) & F.col("version").isNotNull()
+    return opened.where(inner).select("msg_id", "version")
 
 
 # 'null' without an envelope is read as base64 and becomes three bytes of no meaning.
@@ -557,7 +558,8 @@ def d3_enum_decode(spark, sf_dir):
 @query(
     "d4_context_normalise",
     f"""SELECT event_id AS msg_id,
-          CASE WHEN k IN (90, 91) THEN NULL WHEN k = 94 THEN 'ARRAY' WHEN k = 89 THEN 'STRING' ELSE 'OBJECT' END AS shape,
+          CASE WHEN k IN (90, 91) THEN NULL WHEN k = 94 THEN 'ARRAY' WHEN k = 89 THEN 'STRING'
+               ELSE 'OBJECT' END AS shape,
           {_select(CONTEXT_READS, 'k NOT IN (89, 90, 91, 94)')}
         FROM ({AUTHZ})""",
 )
@@ -569,7 +571,8 @@ def d4_context_normalise(spark, sf_dir):
 
 @query(
     "d5_variant",
-    f"""SELECT event_id, 'x' || CAST(event_id AS STRING) AS outer_key, user_id AS inner_key, 2 AS n_numbers, TRUE AS no_value
+    f"""SELECT event_id, 'x' || CAST(event_id AS STRING) AS outer_key, user_id AS inner_key, 2 AS n_numbers,
+          TRUE AS no_value
         FROM ({AUTHZ})""",
 )
 def d5_variant(spark, sf_dir):
@@ -783,7 +786,8 @@ _register_reference_check("c4_fk_decision", "fk_decision", AUTHZ, "decision + 1"
 
 @query(
     "c5_route",
-    """SELECT o_orderkey, o_orderdate >= TIMESTAMP '2001-07-01' AND o_orderdate < TIMESTAMP '2001-10-01' AS has_partition
+    """SELECT o_orderkey,
+          o_orderdate >= TIMESTAMP '2001-07-01' AND o_orderdate < TIMESTAMP '2001-10-01' AS has_partition
        FROM orders""",
 )
 def c5_route(spark, sf_dir):
@@ -999,7 +1003,8 @@ def g1_add_column(spark, sf_dir):
     f"""SELECT created, operation, decision, subject_party_uuid
         FROM (SELECT {_select(_stored(AUTHZ_TYPED, 'authz'))} FROM ({AUTHZ}))
         UNION ALL
-        SELECT created, operation, decision, NULL FROM (SELECT {_select(_stored(AUTHZ_TYPED, 'authz'))} FROM ({AUTHZ}))""",
+        SELECT created, operation, decision, NULL
+        FROM (SELECT {_select(_stored(AUTHZ_TYPED, 'authz'))} FROM ({AUTHZ}))""",
 )
 def g2_union_versions(spark, sf_dir):
     root = scratch_dir(spark, "g2")
