@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry_points
 from workload import compare
+from workload.queries import ORACLES, QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -17,9 +18,9 @@ def con():
     return compare.connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", list(entry_points.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
-    found = compare.difference(spark, con, SF_DIR, entry_points.queries()[name], entry_points.oracle_sql()[name])
+    found = compare.difference(spark, con, SF_DIR, QUERIES[name], ORACLES[name])
     assert found is None
 
 
