@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewire.session import scratch_dir
@@ -64,3 +66,20 @@ def bucket_of(value: Column, bounds: list) -> Column:
     cuts = F.lit(bounds[:-1]) if len(bounds) > 1 else F.array().cast("array<bigint>")
     at = F.size(F.filter(cuts, lambda cut: cut < value))
     return F.coalesce(F.when(value.isNotNull(), at), F.lit(0)).cast("int")
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20, rows: int = 4096):
+    """Parts of a batch with at most ``most`` bytes of text in ``column``, or a single row."""
+    texts = batch.column(column)
+    if not batch.num_rows:
+        return
+    if not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+        raise TypeError(f"{column} must hold text")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    low = 0
+    while low < batch.num_rows:
+        high = int(np.searchsorted(ends, ends[low] + most, "right")) - 1
+        high = min(max(high, low + 1), low + rows, batch.num_rows)
+        yield batch.slice(low, high - low)
+        low = high

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import ready, stored
+from .common import ready, slices, stored
 
 REGISTERS = 256
 BAND_ROWS = 6
@@ -119,8 +119,7 @@ def weighted_shingles(column: pa.Array):
 
 def _signed(batches):
     for batch in batches:
-        for low in range(0, batch.num_rows, 1024):
-            part = batch.slice(low, 1024)
+        for part in slices(batch, "__text"):
             texts = part.column("__text")
             values, of, weight, words, owner = weighted_shingles(texts)
             sig = bands(signatures(values, of, weight, len(texts)))
