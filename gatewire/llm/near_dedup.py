@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as W
 from .common import ready, slices, stored
@@ -241,3 +241,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "__key", F.coalesce("root", "rep").alias("class_id")
     )
     return signed.join(classes, "__key", "left").select(F.col("__id").alias(id_col), "class_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class, that of the least id; of several rows with this id one of the least text.
+
+    Rows without an id can't be told apart, so they stay.
+    """
+    classes = near_duplicates(docs, id_col, text_col, threshold)
+    kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__kept")).distinct()
+    kept = stored(kept, "kept")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    named = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").withColumn("__rank", rank)
+    return named.filter("__rank = 1").drop("__rank").unionByName(docs.filter(F.col(id_col).isNull()))
