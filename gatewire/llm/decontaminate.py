@@ -150,7 +150,7 @@ def oracle(threshold: float = THRESHOLD, width: int = WIDTH) -> str:
         also = f"and least(len(ws), {width}) = {w}"
         item_parts.append(grams.format(key="item_id", w=w, rows="items", also=also))
         doc_parts.append(grams.format(key="doc_id", w=w, rows="docs", also=f"and {w} in (select least(len(ws), {width}) from items)"))
-    split = r"list_filter(string_split_regex(lower(text), '[^a-z0-9\x{80}-\x{10FFFF}]+'), x -> x <> '')"
+    split = r"regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+')"
     return f"""
 with items as (select item_id, {split} as ws from benchmark where item_id is not null and text is not null),
 docs as (select doc_id, {split} as ws from documents where doc_id is not null and text is not null),
