@@ -7,6 +7,7 @@ from gatewire.operators.readouts import flatten_context, partition_stats, time_r
 from gatewire.operators.validate import split, validate
 from gatewire.plans.ingest import accepted, check_authn, check_authz, check_authz_documents, rejected
 from gatewire.plans.maintenance import maintain, run_maintenance
+from gatewire.plans.reprocess import reprocess
 from gatewire.session import build_session, configure
 from gatewire.sources.catalog import load_catalog, save_catalog
 from gatewire.sources.dimensions import current_dimensions, load_dimensions, save_dimensions, seed_dimensions

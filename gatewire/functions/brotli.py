@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType, StructType
 
 
 def brotli_decompress(payload: Column) -> Column:
@@ -29,6 +30,40 @@ def brotli_decompress(payload: Column) -> Column:
     return decompress(payload)
 
 
+def inflate(messages: DataFrame, payload: str, column: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """Add ``column``, the inflated ``payload``, as ``brotli_decompress`` gives it.
+
+    A few bytes may inflate to megabytes, so a batch of payloads goes back in as
+    many parts as it takes to keep each near ``most_bytes``; no payload is refused
+    for its size.  Nested to travel by value, too.
+    """
+    schema = StructType([*messages.schema.fields]).add(column, BinaryType())
+    names = schema.names
+
+    def run(batches):
+        import pyarrow as pa
+
+        def one(value):
+            if not value.is_valid or not len(value.as_buffer()):
+                return None
+            try:
+                return pa.CompressedInputStream(pa.BufferReader(value.as_buffer()), "brotli").read()
+            except OSError:
+                return None
+
+        for batch in batches:
+            start, made, size = 0, [], 0
+            for number, value in enumerate(batch.column(batch.schema.get_field_index(payload)), 1):
+                made.append(one(value))
+                size += len(made[-1] or b"")
+                if size >= most_bytes or number == batch.num_rows:
+                    part = batch.slice(start, len(made))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=names)
+                    start, made, size = number, [], 0
+
+    return messages.mapInArrow(run, schema)
+
+
 def brotli_compress(payload: Column, level: int = 4) -> Column:
     """BINARY -> BINARY, the producer's side; NULL stays NULL."""
 

@@ -3,7 +3,7 @@
 Spark's typed ``from_json`` turns a wrong-typed field into NULL without a word
 and hands out ``12`` and ``"12"`` alike as text.  Messages with such fields must
 be refused, so where the JSON type decides, a field is read as a VARIANT; the
-others are read as text, which is several times faster.
+others are read as text.
 """
 
 from __future__ import annotations
@@ -19,14 +19,42 @@ JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 # Fixed value: date, optional time to the minute or second, up to 16 decimals, optional offset.
 CREATED_PATTERN = (
     r"^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"(T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,16})?)?(Z|[+-](0[0-9]|1[0-3])(:[0-5][0-9])?|[+-]14(:00)?)?)?$"
+    r"(T[0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,16})?)?(Z|[+-](0[0-9]|1[0-3])(:[0-5][0-9])?|[+-]14(:00)?)?)?\z"
 )
-MINUTE_PRECISION_PATTERN = r"^([0-9-]{10}T[0-9]{2}:[0-9]{2})(Z|[+-].*)?$"
-INTEGER_PATTERN = r"^[+-]?[0-9]+$"
+MINUTE_PRECISION_PATTERN = r"^([0-9-]{10}T[0-9]{2}:[0-9]{2})(Z|[+-].*)?\z"
+INTEGER_PATTERN = r"^[+-]?[0-9]+\z"
 
 
 # Fixed value: text that might have been a JSON number, boolean, object or array.
-NOT_ONLY_TEXT_PATTERN = r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|[\[{][\s\S]*)$"
+NOT_ONLY_TEXT_PATTERN = r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|[\[{][\s\S]*)\z"
+
+# Escapes of half a surrogate pair, behind an even number of backslashes.
+_EVEN = r"((?<!\\)(?:\\\\)*)"
+_HIGH, _LOW = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+HIGH_ALONE_PATTERN = rf"{_EVEN}{_HIGH}(?!{_LOW})"
+LOW_ALONE_PATTERN = rf"(?<!(?<!\\)(?:\\\\){{0,8}}{_HIGH}){_EVEN}{_LOW}"
+NUL_ESCAPE = r"\u0000"
+NUL_ESCAPE_PATTERN = rf"{_EVEN}\\u0000"
+
+# Numbers that VARIANT would round: more than 38 digits, or more than a double holds behind an exponent.
+MAYBE_ROUNDED_PATTERN = r"[0-9][0-9.]{38}|[0-9][eE]"
+ROUNDED_PATTERN = r"(?:[0-9]\.?){39}|(?:[0-9]\.?){16}[eE]|[0-9][eE][+-]?0*[1-9][0-9]{2}"
+JSON_STRING_PATTERN = r'"(?:[^"\\]|\\.)*+"'
+
+
+def mark_half_surrogates(text: Column) -> Column:
+    """JSON text in which every escaped half of a surrogate pair is an escaped NUL instead.
+
+    Neither can be stored as text, and a NUL is still there after parsing, where
+    Spark has put ``?`` for the half.
+    """
+    marked = F.regexp_replace(F.regexp_replace(text, LOW_ALONE_PATTERN, rf"$1\{NUL_ESCAPE}"), HIGH_ALONE_PATTERN, rf"$1\{NUL_ESCAPE}")
+    return F.when(F.contains(text, F.lit("\\u")), marked).otherwise(text)
+
+
+def unstorable(text: Column) -> Column:
+    """Whether a text holds a NUL, which no text column of the store takes."""
+    return F.contains(text, F.lit("\0"))
 
 
 def candidate_documents(text: Column, document_type: str) -> Column:
@@ -35,7 +63,7 @@ def candidate_documents(text: Column, document_type: str) -> Column:
     Spark stops reading at the end of the first JSON value, so
     ``{"a":1} trailing`` would pass on its own.
     """
-    wrapped = F.concat(F.lit("["), F.try_validate_utf8(text), F.lit(",null]"))
+    wrapped = F.concat(F.lit("["), mark_half_surrogates(F.try_validate_utf8(text)), F.lit(",null]"))
     return F.from_json(wrapped, f"array<{document_type}>", JSON_OPTIONS)
 
 
@@ -111,8 +139,8 @@ def choice(names: dict[str, int], default: int | None = None) -> FieldType:
 # The type name of texts is only known where one was in doubt.
 TEXT = FieldType(
     "bad_string",
-    lambda text, tag, strict: F.when(tag.isNull() | (tag == "STRING"), text),
-    lambda text, tag, present, value: ~tag.isin("STRING", "VOID"),
+    lambda text, tag, strict: F.when((tag.isNull() | (tag == "STRING")) & ~unstorable(text), text),
+    lambda text, tag, present, value: ~tag.isin("STRING", "VOID") | unstorable(text),
 )
 INTEGER = FieldType("bad_int", _read_integer, _unread, typed=True)
 INSTANT = FieldType("bad_created", lambda text, tag, strict: parse_created(text), _unread)
@@ -143,5 +171,11 @@ def json_or_text(text: Column) -> Column:
     """Text of a field holding JSON, or holding a string with JSON inside, -> VARIANT.
 
     A string without JSON inside stays a string; unwrapping goes one level deep.
+    What can't be kept as it is gives NULL: NUL characters, half surrogate pairs
+    and numbers that would be rounded.
     """
-    return F.coalesce(F.try_parse_json(text), text.cast("variant"))
+    marked = mark_half_surrogates(text)
+    bare = F.regexp_replace(text, JSON_STRING_PATTERN, "")
+    rounded = text.rlike(MAYBE_ROUNDED_PATTERN) & bare.rlike(ROUNDED_PATTERN)
+    lost = unstorable(text) | (F.contains(marked, F.lit(NUL_ESCAPE)) & marked.rlike(NUL_ESCAPE_PATTERN)) | rounded
+    return F.when(~lost, F.coalesce(F.try_parse_json(text), text.cast("variant")))

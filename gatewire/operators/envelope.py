@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from gatewire.functions import envelope as env
-from gatewire.functions.brotli import brotli_decompress
+from gatewire.functions.brotli import inflate
 from gatewire.functions.problems import problem
 from gatewire.vocabulary import BROTLI_MESSAGE_VERSION, SHORTEST_MESSAGE_BYTES
 
@@ -52,8 +52,8 @@ def decode(messages: DataFrame, body: str = "body") -> DataFrame:
         unwrap(drop_short(messages, body), body)
         .withColumn("_payload", F.when(is_compressed, content))
         .withColumn("_plain", F.when(version.isNull(), content))
-        .withColumn("_inflated", brotli_decompress(F.col("_payload")))
     )
+    opened = inflate(opened, "_payload", "_inflated")
     found = F.concat_ws(
         ",",
         problem("bad_base64", {body: content.isNull()}),

@@ -35,6 +35,7 @@ def reference(code: str) -> Reference:
 # knows their size: it broadcasts them while they are below
 # spark.sql.autoBroadcastJoinThreshold and shuffles (with AQE splitting hot
 # keys) should somebody let one grow beyond it.  Hence no broadcast hints here.
+# Stored Parquet has no keys, so a lookup row that is there twice counts once.
 
 
 def violators(events: DataFrame, ref: Reference, dimension: DataFrame) -> DataFrame:
@@ -44,10 +45,10 @@ def violators(events: DataFrame, ref: Reference, dimension: DataFrame) -> DataFr
 
 
 def flag_violators(events: DataFrame, refs: tuple[Reference, ...], dimensions: dict[str, DataFrame]) -> DataFrame:
-    """Add one boolean per reference, named after its code. Lookup ids are unique, so rows don't multiply."""
+    """Add one boolean per reference, named after its code; repeated lookup rows don't multiply events."""
     for ref in refs:
         known = f"_known_{ref.column}"
-        ids = dimensions[ref.dimension].select(F.col("id").alias(known))
+        ids = dimensions[ref.dimension].select(F.col("id").alias(known)).distinct()
         events = (
             events.join(ids, F.col(ref.column) == F.col(known), "left")
             .withColumn(ref.code, F.col(ref.column).isNotNull() & F.col(known).isNull())
@@ -57,17 +58,21 @@ def flag_violators(events: DataFrame, refs: tuple[Reference, ...], dimensions: d
 
 
 def decode_names(events: DataFrame, kind: str, dimensions: dict[str, DataFrame]) -> DataFrame:
-    """Add the name behind every lookup id; unknown and NULL ids get NULL."""
+    """Add the name behind every lookup id; unknown and NULL ids get NULL, of several names the first counts."""
     for ref in REFERENCES[kind]:
-        names = dimensions[ref.dimension].select(F.col("id").alias("_id"), F.col("name").alias(ref.label))
+        names = dimensions[ref.dimension].groupBy(F.col("id").alias("_id")).agg(F.min("name").alias(ref.label))
         events = events.join(names, F.col(ref.column) == F.col("_id"), "left").drop("_id")
     return events
 
 
 def insert_if_absent(dimension: DataFrame, rows: DataFrame) -> DataFrame:
-    """Lookup table plus those rows whose id it doesn't have yet; what is there wins."""
-    fresh = rows.dropDuplicates(["id"]).join(dimension.select("id"), "id", "left_anti")
-    return dimension.unionByName(fresh)
+    """Lookup table plus those rows whose id it doesn't have yet; what is there wins.
+
+    Of several new rows with one id the first by their other columns, in table order, is taken.
+    """
+    others = [c for c in dimension.columns if c != "id"]
+    first = rows.groupBy("id").agg(F.min(F.struct(*others)).alias("_row")).select("id", "_row.*")
+    return dimension.unionByName(first.join(dimension.select("id"), "id", "left_anti"))
 
 
 def month_is_open(created: Column, catalog: DataFrame, schema_name: str) -> tuple[DataFrame, Column]:
@@ -76,7 +81,7 @@ def month_is_open(created: Column, catalog: DataFrame, schema_name: str) -> tupl
     Partitions are whole calendar months, so ``start <= created < end`` equals
     a match on the first of the month, which joins by hash and not by range.
     """
-    months = catalog.where(F.col("schema_name") == schema_name).select(F.col("start_date").alias("_open_month"))
+    months = catalog.where(F.col("schema_name") == schema_name).select(F.col("start_date").alias("_open_month")).distinct()
     return months, F.trunc(created, "MM") == F.col("_open_month")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gatewire.functions.months import month_start
 from gatewire.schemas import CONTEXT_REQUEST_DDL
+from gatewire.vocabulary import SCHEMA_NAMES
 
 
 def time_range(events: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
@@ -27,19 +28,25 @@ def with_month(events: DataFrame) -> DataFrame:
     return events.withColumn("created_month", month_start(F.col("created")))
 
 
+def with_partition(events: DataFrame, kind: str) -> DataFrame:
+    """Events of one kind with the schema and month of the partition they lie in."""
+    return with_month(events).withColumn("schema_name", F.lit(SCHEMA_NAMES[kind]))
+
+
 def partition_stats(events: DataFrame, catalog: DataFrame) -> DataFrame:
     """Row count, first and last event per listed partition; empty ones show 0.
 
-    Counting happens before the shuffle, so a month holding most of the rows
+    ``events`` has ``schema_name, created_month, created``, of both kinds together
+    (see ``with_partition``).  Counting happens before the shuffle, so a month holding most of the rows
     costs no more than any other.
     """
-    found = events.groupBy("created_month").agg(
+    found = events.groupBy("schema_name", F.col("created_month").alias("start_date")).agg(
         F.count("*").alias("n_rows"),
         F.min("created").alias("first_created"),
         F.max("created").alias("last_created"),
     )
     return (
-        catalog.join(found, F.col("start_date") == F.col("created_month"), "left")
+        catalog.join(found, ["schema_name", "start_date"], "left")
         .select(*catalog.columns, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "first_created", "last_created")
     )
 

@@ -9,8 +9,7 @@ from gatewire.functions.json_fields import is_json_object
 from gatewire.functions.problems import NO_PROBLEMS, add_problems, errors_map, problem
 from gatewire.operators.lookups import REFERENCES, flag_unroutable, flag_violators
 from gatewire.operators.parse import stored_decision
-
-SCHEMA_NAMES = {"authn": v.AUTHN_SCHEMA, "authz": v.AUTHZ_SCHEMA}
+from gatewire.vocabulary import SCHEMA_NAMES
 
 
 def created_missing() -> Column:

@@ -13,17 +13,23 @@ CARRIED = ("msg_id", "body", "errors", "is_valid")
 
 
 def check_authn(
-    messages: DataFrame, dimensions: dict[str, DataFrame], catalog: DataFrame, strict: bool = True
+    messages: DataFrame,
+    dimensions: dict[str, DataFrame],
+    catalog: DataFrame,
+    strict: bool = True,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``msg_id, body, errors, is_valid`` and the table columns, one row per message."""
+    """``msg_id, body, errors, is_valid``, the columns to ``keep`` and the table columns, one row per message."""
     events = parse_authn(messages, "body", strict)
-    return conform(validate(events, "authn", dimensions, catalog), "authn", CARRIED)
+    return conform(validate(events, "authn", dimensions, catalog), "authn", CARRIED + keep)
 
 
-def check_authz(messages: DataFrame, dimensions: dict[str, DataFrame], catalog: DataFrame) -> DataFrame:
+def check_authz(
+    messages: DataFrame, dimensions: dict[str, DataFrame], catalog: DataFrame, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """As ``check_authn``, for enveloped messages; those too short to be one are gone."""
     events = parse_authz(decode(messages, "body"), "json")
-    return conform(validate(events, "authz", dimensions, catalog), "authz", CARRIED)
+    return conform(validate(events, "authz", dimensions, catalog), "authz", CARRIED + keep)
 
 
 def check_authz_documents(

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatewire.functions.months import retention_cutoff
 from gatewire.operators import partitions as p
-from gatewire.operators.validate import SCHEMA_NAMES
 from gatewire.sources.catalog import load_catalog, save_catalog
 from gatewire.sources.tables import drop_months, stored_months
+from gatewire.vocabulary import SCHEMA_NAMES
 
 
 def due_for_drop(catalog: DataFrame, as_of: dt.date, retention_months: int, unbounded: bool = False) -> DataFrame:
@@ -51,7 +51,7 @@ def run_maintenance(
     the folders, not from the list, so a run that dies in between is finished
     by the next one.
     """
-    after = maintain(load_catalog(spark, catalog_root), as_of, enabled, retention_months, unbounded)
+    after = maintain(load_catalog(spark, catalog_root, missing_ok=True), as_of, enabled, retention_months, unbounded)
     save_catalog(after, catalog_root)
     if not enabled:
         return []

@@ -70,5 +70,10 @@ def fact_schema(kind: str) -> T.StructType:
     return _struct(FACT_COLUMNS[kind])
 
 
+def first_schema(kind: str) -> T.StructType:
+    """Layout of the first generation of an event table."""
+    return _struct(FACT_COLUMNS_V0[kind])
+
+
 def _struct(columns: dict[str, str]) -> T.StructType:
     return T.StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in columns.items()))

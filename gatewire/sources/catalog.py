@@ -1,31 +1,49 @@
 """The list of existing partitions, kept as numbered Parquet snapshots.
 
 A snapshot is only ever added, never changed, so readers see a whole list and a
-job that dies half-way leaves the last one in force.
+job that dies half-way leaves the last one in force.  Folder names are unique, so
+jobs that run side by side never write into one folder; of two lists with the same
+number the greater name is in force.  A finished list has a mark of its own, since
+not every cluster writes ``_SUCCESS``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from gatewire.operators.partitions import empty_catalog
 from gatewire.schemas import CATALOG_DDL
 from gatewire.sources import folders
 
+MARK = "_finished"
+KEPT = 5
+
 
-def _newest(spark: SparkSession, root: str) -> int:
-    finished = folders.matching(spark, f"{root}/version=*/_SUCCESS")
-    return max((int(path.split("version=")[1].split("/")[0]) for path in finished), default=0)
+def _snapshots(spark: SparkSession, root: str) -> list[str]:
+    """Folders of finished lists, oldest first; names sort by number."""
+    marks = folders.matching(spark, f"{root}/version=*/{MARK}")
+    return sorted((mark.rsplit("/", 1)[0] for mark in marks), key=lambda folder: folder.rsplit("/", 1)[1])
 
 
-def load_catalog(spark: SparkSession, root: str) -> DataFrame:
-    version = _newest(spark, root)
-    if not version:
+def load_catalog(spark: SparkSession, root: str, missing_ok: bool = False) -> DataFrame:
+    """The list in force. Without any an error, as every message would be refused; or empty if that is fine."""
+    found = _snapshots(spark, root)
+    if found:
+        return spark.read.schema(CATALOG_DDL).parquet(found[-1])
+    if missing_ok:
         return empty_catalog(spark)
-    return spark.read.schema(CATALOG_DDL).parquet(f"{root}/version={version}")
+    raise FileNotFoundError(f"no list of partitions in {root}")
 
 
 def save_catalog(catalog: DataFrame, root: str) -> None:
-    """Write the next snapshot; an unfinished one of the same number is replaced."""
-    version = _newest(catalog.sparkSession, root) + 1
-    catalog.coalesce(1).write.mode("overwrite").parquet(f"{root}/version={version}")
+    """Write the next snapshot; the last few stay for readers that still use them."""
+    spark = catalog.sparkSession
+    found = _snapshots(spark, root)
+    last = int(found[-1].rsplit("version=", 1)[1].split("-")[0]) if found else 0
+    folder = f"{root}/version={last + 1:08d}-{uuid.uuid4().hex}"
+    catalog.coalesce(1).write.mode("errorifexists").parquet(folder)
+    folders.mark(spark, f"{folder}/{MARK}")
+    for old in found[: -(KEPT - 1)]:
+        folders.delete_matching(spark, old)

@@ -30,3 +30,9 @@ def delete_matching(spark: SparkSession, pattern: str) -> list[str]:
         hadoop_path, fs = _path(spark, folder)
         fs.delete(hadoop_path, True)
     return found
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file."""
+    hadoop_path, fs = _path(spark, path)
+    fs.create(hadoop_path, True).close()

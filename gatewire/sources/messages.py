@@ -21,8 +21,10 @@ def read_messages(
 ) -> DataFrame:
     """Messages of kind ``authn`` (text) or ``authz`` (bytes) as ``msg_id, body``.
 
-    ``text`` takes one message per line, ``binaryFile`` one per file; neither
-    has message ids.  Other formats deliver both columns themselves.
+    ``text`` takes one message per line, or up to another separator
+    (``lineSep="\\x1e"``) or per file (``wholetext="true"``) for messages with line
+    breaks; ``binaryFile`` takes one per file; neither has message ids.  Other
+    formats deliver both columns themselves.
     """
     reader = (spark.readStream if streaming else spark.read).format(fmt).options(**options)
     if fmt == "text":

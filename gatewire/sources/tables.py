@@ -6,9 +6,11 @@ Ingested rows of one kind live below one root, laid out as
     <root>/verdict=rejected/created_month=__HIVE_DEFAULT_PARTITION__/ingest_batch=.../*.parquet
 
 so a single write job stores accepted events and quarantined messages of a
-batch together: the input is decoded and parsed once, nothing is cached, and
-either both appear or neither.  A month is one folder, so retention drops it
-without touching others, and a replayed batch replaces exactly what it wrote.
+batch together: the input is decoded and parsed once and nothing is cached.  The
+job's commit moves one folder after the other; a batch that dies within it is
+whole again once it is repeated under its name.  A month is one folder, so
+retention drops it without touching others, and a replayed batch replaces exactly
+what it wrote.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql.types import StructType
 
 from gatewire.functions.months import month_start
 from gatewire.operators.readouts import time_range
-from gatewire.schemas import FACT_COLUMNS, QUARANTINE_DDL, fact_schema
+from gatewire.schemas import FACT_COLUMNS, QUARANTINE_DDL, fact_schema, first_schema
 from gatewire.sources import folders
 
 UNNAMED_BATCH = "bulk"
@@ -50,16 +52,26 @@ def rewrite_by_year(events: DataFrame, path: str) -> None:
 def _grouped(rows: DataFrame, column: str) -> DataFrame:
     """Bring rows of one folder together; only adaptive execution can cut a folder that is too large for a task."""
     if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
-        return rows
+        raise ValueError("grouping rows by folder needs spark.sql.adaptive.enabled")
     return rows.hint("rebalance", F.col(column))
 
 
-def write_checked(checked: DataFrame, root: str, kind: str, batch: str | None = None) -> None:
+def write_checked(
+    checked: DataFrame,
+    root: str,
+    kind: str,
+    batch: str | Column | None = None,
+    tried_before: bool = True,
+) -> None:
     """Store a validated DataFrame: good rows as events, the others with body and reasons.
 
-    With a batch name the rows replace those of an earlier try of that batch;
-    without one they are appended.
+    With a batch name the rows replace whatever an earlier try of that batch
+    stored; without one they are appended.  ``tried_before=False`` spares the
+    search for an earlier try where there can't be one.  A column as ``batch``
+    gives every row a batch of its own choice, which replaces by folder only.
     """
+    if isinstance(batch, str) and tried_before:
+        forget_batch(checked.sparkSession, root, batch)
     good = F.col("is_valid")
 
     def if_good(name: str, column: Column) -> Column:
@@ -75,10 +87,10 @@ def write_checked(checked: DataFrame, root: str, kind: str, batch: str | None =
         if_bad("errors", F.col("errors")),
         F.when(good, F.lit("accepted")).otherwise(F.lit("rejected")).alias("verdict"),
         if_good("created_month", month_start(F.col("created"))),
-        F.lit(batch or UNNAMED_BATCH).alias("ingest_batch"),
+        (batch if isinstance(batch, Column) else F.lit(batch or UNNAMED_BATCH)).alias("ingest_batch"),
     )
     writer = rows.write.partitionBy(*LAYOUT)
-    if batch:
+    if batch is not None:
         writer = writer.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     else:
         writer = writer.mode("append")
@@ -100,8 +112,16 @@ def read_events(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def read_range(spark: SparkSession, path: str, kind: str, start: dt.datetime, end: dt.datetime) -> DataFrame:
-    """Events with ``start <= created < end``, listing the files of the months concerned only.
+def read_first_generation(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """A table written by ``rewrite_by_year``, in the layout that it had."""
+    schema = first_schema(kind)
+    return spark.read.schema(first_schema(kind).add("created_year", "integer")).parquet(path).select(*schema.names)
+
+
+def read_range(
+    spark: SparkSession, path: str, kind: str | StructType, start: dt.datetime, end: dt.datetime
+) -> DataFrame:
+    """Rows of a table by month, an event table of some kind or any other layout, with ``start <= created < end``, listing the files of the months concerned only.
 
     On a table with years of micro-batches the listing of all folders would take longer than the scan.
     """
@@ -109,7 +129,8 @@ def read_range(spark: SparkSession, path: str, kind: str, start: dt.datetime, en
     wanted = [
         month for month in stored_months(spark, path) if start.date().replace(day=1) <= month <= last.date()
     ]
-    schema = fact_schema(kind).add("created_month", "date")
+    layout = fact_schema(kind) if isinstance(kind, str) else StructType(kind.fields)
+    schema = layout.add("created_month", "date")
     if not wanted:
         return spark.createDataFrame([], schema)
     paths = [f"{path}/created_month={month.isoformat()}" for month in wanted]
@@ -128,7 +149,11 @@ def read_accepted_range(
 
 
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
-    return _read_verdict(spark, root, "rejected", StructType.fromDDL(QUARANTINE_DDL))
+    return _read_verdict(spark, root, "rejected", quarantine_schema())
+
+
+def quarantine_schema() -> StructType:
+    return StructType.fromDDL(QUARANTINE_DDL)
 
 
 def _read_verdict(spark: SparkSession, root: str, verdict: str, schema: StructType) -> DataFrame:

@@ -119,6 +119,7 @@ DECISION_ROWS = [
 
 AUTHN_SCHEMA = "authentication"
 AUTHZ_SCHEMA = "authz"
+SCHEMA_NAMES = {"authn": AUTHN_SCHEMA, "authz": AUTHZ_SCHEMA}
 PARTITION_NAME_PATTERN = "'eventlogv1_y'yyyy'm'MM"
 DROP_LOOK_BACK_MONTHS = 24
 SUBJECT_PARTY_UUID_MAX_CHARS = 255

@@ -92,3 +92,11 @@ def test_large_payload_survives_whole(spark):
     big = (b'{"x":"' + b"abcdefghij" * 300_000 + b'"}')
     row = decode(spark.createDataFrame([(1, b"01" + brotli(big))], "msg_id long, body binary")).first()
     assert row.json == big.decode()
+
+
+def test_payloads_that_inflate_a_lot(spark):
+    """Some 2.5 GB of documents from kilobytes, in one partition: they come back in parts of bounded size."""
+    body = v01(b'{"a":"' + b"x" * 300_000 + b'"}')
+    messages = spark.range(0, 9000, 1, 1).select(F.col("id").alias("msg_id"), F.lit(body).alias("body"))
+    row = decode(messages).agg(F.count("*").alias("n"), F.min(F.length("json")).alias("least"), F.max("problems").alias("p")).first()
+    assert (row.n, row.least, row.p) == (9000, 300_008, "")

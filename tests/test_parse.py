@@ -34,8 +34,8 @@ def read(spark, body, kind="authn", strict=None):
 def test_authentication_sample(spark):
     row = read(spark, text(AUTHN) + "\n")
     assert row["errors"] == {}
-    assert row["created"] == utc(2023, 9, 7, 6, 24, 43, 971899)
-    assert (row["userid"], row["eventtypeid"], row["authenticationmethodid"]) == (20000003, 1, 1)
+    assert row["created"] == utc(2023, 9, 12, 17, 3, 29, 408153)
+    assert (row["userid"], row["eventtypeid"], row["authenticationmethodid"]) == (31415926, 1, 1)
     assert (row["authenticationlevelid"], row["isauthenticated"]) == (4, False)
     others = "sessionid externalsessionid subscriptionkey externaltokenissuer supplierid orgnumber ipaddress"
     assert all(row[c] is None for c in others.split())
@@ -44,8 +44,8 @@ def test_authentication_sample(spark):
 def test_authorization_sample(spark):
     row = read(spark, text(AUTHZ), "authz")
     assert row["errors"] == {}
-    assert row["created"] == utc(2018, 5, 15, 2, 5)
-    assert (row["subjectuserid"], row["resourcepartyid"], row["decision"]) == (2000000, 1000, 0)
+    assert row["created"] == utc(2018, 5, 23, 19, 41, 7)
+    assert (row["subjectuserid"], row["resourcepartyid"], row["decision"]) == (4711008, 6080, 0)
     assert (row["operation"], row["ipaddress"]) == ("read", "192.0.2.1")
     assert json.loads(row["contextrequestjson"]) == CONTEXT
 
@@ -86,6 +86,7 @@ FIELD_CASES = [
     ("UserId", '"7"', "userid", ["bad_int"], 7),
     ("UserId", '"-7"', "userid", ["bad_int"], -7),
     ("UserId", '"7 "', "userid", ["bad_int"], ["bad_int"]),
+    ("UserId", '"7\\n"', "userid", ["bad_int"], ["bad_int"]),
     ("UserId", '""', "userid", ["bad_int"], ["bad_int"]),
     ("UserId", "1.5", "userid", ["bad_int"], ["bad_int"]),
     ("UserId", "1.0", "userid", ["bad_int"], ["bad_int"]),
@@ -99,6 +100,13 @@ FIELD_CASES = [
     ("SessionId", '""', "sessionid", "", ""),
     ("SessionId", '" "', "sessionid", " ", " "),
     ("SessionId", '"a\\u00e6\\"b"', "sessionid", 'aæ"b', 'aæ"b'),
+    ("SessionId", '"a\\ud800b"', "sessionid", ["bad_string"], ["bad_string"]),
+    ("SessionId", '"a\\udc00b"', "sessionid", ["bad_string"], ["bad_string"]),
+    ("SessionId", '"\\udc00\\ud800"', "sessionid", ["bad_string"], ["bad_string"]),
+    ("SessionId", '"\\uD83D\\uDE42"', "sessionid", "🙂", "🙂"),
+    ("SessionId", '"\\\\ud800"', "sessionid", "\\ud800", "\\ud800"),
+    ("SessionId", '"a\\u0000b"', "sessionid", ["bad_string"], ["bad_string"]),
+    ("SessionId", '"\\\\u0000"', "sessionid", "\\u0000", "\\u0000"),
     ("SessionId", '"12"', "sessionid", "12", "12"),
     ("SessionId", '"true"', "sessionid", "true", "true"),
     ("SessionId", '"{}"', "sessionid", "{}", "{}"),
@@ -233,7 +241,7 @@ def test_authn_export(spark):
     frame = spark.createDataFrame([(text(AUTHN),)], "body string")
     exported = json.loads(authn_to_json(conform(parse_authn(frame), "authn")).first().json)
     assert list(exported)[:4] == ["sessionId", "externalSessionId", "externalTokenIssuer", "created"]
-    assert exported["created"] == "2023-09-07T06:24:43.971899+00:00"
+    assert exported["created"] == "2023-09-12T17:03:29.408153+00:00"
     assert exported["eventType"] == 1 and exported["orgNumber"] is None and len(exported) == 13
 
 

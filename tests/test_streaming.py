@@ -130,3 +130,23 @@ def test_text_and_file_sources(spark, tmp_path):
     assert [bytes(r.body) for r in files.collect()] == [b"01\xff"]
     topic = spark.createDataFrame([(b"{}", 7)], "value binary, offset long")
     assert gatewire.as_messages(topic, "authn", "value", "offset").first() == (7, "{}")
+
+
+def test_streams_with_checkpoints_of_their_own_keep_each_others_events(spark, dimensions, tmp_path):
+    """Neither a new checkpoint nor a second stream, under the same name, replaces what is stored."""
+    gatewire.save_catalog(plan(spark, dt.date(2023, 9, 1)), f"{tmp_path}/catalog")
+    for n, count in enumerate((5, 3)):
+        ingest = Ingest(spark, "authn", tmp_path, dimensions)
+        rows = [(i, text(AUTHN)) for i in range(count)]
+        spark.createDataFrame(rows, "msg_id long, body string").write.parquet(f"{tmp_path}/in-{n}")
+        query = gatewire.start_ingest(
+            gatewire.read_messages(spark, f"{tmp_path}/in-{n}", "authn", streaming=True),
+            "authn",
+            f"{tmp_path}/out",
+            f"{tmp_path}/state-{n}",
+            lambda: dimensions,
+            lambda: gatewire.load_catalog(spark, f"{tmp_path}/catalog"),
+            trigger={"availableNow": True},
+        )
+        query.awaitTermination()
+    assert ingest.accepted().count() == 8

@@ -132,7 +132,7 @@ def authn_messages_sql(dialect: dict[str, str]) -> str:
            WHEN 88 THEN ''
            WHEN 98 THEN ',"IsAuthenticated":null'
            ELSE ',"IsAuthenticated":' || CASE WHEN isauthenticated THEN 'true' ELSE 'false' END END
-      || ',"TimeToDelete":"2027-02-21T14:50:05"'
+      || ',"TimeToDelete":"2031-05-06T07:08:09"'
       || CASE k WHEN 91 THEN '' WHEN 87 THEN '}} extra' ELSE '}}' END
     """
     return f"""
@@ -202,7 +202,7 @@ def authz_documents_sql(dialect: dict[str, str]) -> str:
           || {key('Resource')} {_text('resource')}
           || {key('InstanceId')} {_text('instanceid')}
           || CASE WHEN k = 93 THEN '' ELSE {key('Operation')} {_text('operation')} END
-          || {key('TimeToDelete')} '"2027-02-21T14:50:05"'
+          || {key('TimeToDelete')} '"2031-05-06T07:08:09"'
           || {key('IpAdress')} {_text('ipaddress')}
           || {key('ContextRequestJson')}
                CASE WHEN k = 94 THEN '[1]' WHEN k = 89 THEN '"no json"' WHEN k % 4 = 1 THEN {escaped} ELSE context END
@@ -233,36 +233,13 @@ def authz_documents_sql(dialect: dict[str, str]) -> str:
     """
 
 
-def _splits(spark: SparkSession, path: str) -> int:
-    """Scan tasks that a Parquet file gives, found without running a job."""
-    key = (spark.sparkContext.applicationId, path)
-    if key not in _split_counts:
-        _split_counts[key] = spark.read.parquet(path).rdd.getNumPartitions()
-    return _split_counts[key]
-
-
-_split_counts: dict[tuple[str, str], int] = {}
-
-
-def _spread_hint(spark: SparkSession, path: str) -> str:
-    """Small tables come as one file and would keep one core busy; large input is left alone."""
-    cores = spark.sparkContext.defaultParallelism
-    return f"/*+ REPARTITION({cores}) */" if _splits(spark, path) < cores else ""
-
-
 def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """Run feed SQL straight on the Parquet files, without leaving views behind."""
-    path = f"{sf_dir}/events.parquet"
-    rows = f"(SELECT {_spread_hint(spark, path)} * FROM parquet.`{path}`)"
-    return spark.sql(sql.replace("FROM events", f"FROM {rows}"))
+    return spark.sql(sql.replace("FROM events", f"FROM parquet.`{sf_dir}/events.parquet`"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A given table; ``spread`` is for queries with much work per row."""
-    path = f"{sf_dir}/{name}.parquet"
-    if spread:
-        return spark.sql(f"SELECT {_spread_hint(spark, path)} * FROM parquet.`{path}`")
-    return spark.read.parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def authn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +310,9 @@ def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         path = scratch_dir(spark, name) + "/messages"
-        FEEDS[name](spark, sf_dir).write.parquet(path)
+        rows = FEEDS[name](spark, sf_dir)
+        # a queue dump comes in many files
+        rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
         _stored[key] = path
     return _stored[key]
 

@@ -8,6 +8,7 @@ never decodes or parses anything.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -32,6 +33,7 @@ from gatewire.operators.parse import (
 )
 from gatewire.plans.ingest import accepted, check_authn, check_authz, check_authz_documents
 from gatewire.plans.maintenance import maintain, run_maintenance
+from gatewire.plans.reprocess import reprocess
 from gatewire.schemas import AUTHN_COLUMNS, AUTHZ_COLUMNS
 from gatewire.session import configure, scratch_dir
 from gatewire.sources import tables
@@ -242,11 +244,14 @@ def _describe_sql(month: str) -> str:
 # --- sources and sinks --------------------------------------------------------
 
 
-@query("a1_authn_source", f"SELECT body FROM ({AUTHN_MESSAGES})")
+@query("a1_authn_source", f"""SELECT replace(body, ',"', ',' || chr(10) || '"') AS body FROM ({AUTHN_MESSAGES})""")
 def a1_authn_source(spark, sf_dir):
+    """Messages with line breaks in a text file."""
     path = scratch_dir(spark, "a1") + "/queue"
-    feeds.stored(spark, sf_dir, "authn_messages").select("body").write.text(path)
-    return read_messages(spark, path, "authn", fmt="text").select("body")
+    lines = F.replace(F.col("body"), F.lit(',"'), F.lit(',\n"'))
+    messages = feeds.stored(spark, sf_dir, "authn_messages").select(lines.alias("body"))
+    messages.write.option("lineSep", "\x1e").text(path)
+    return read_messages(spark, path, "authn", fmt="text", lineSep="\x1e").select("body")
 
 
 @query(
@@ -369,14 +374,13 @@ def a7_dim_seed(spark, sf_dir):
     "a8_dim_insert_if_absent",
     f"""SELECT * FROM {DIMENSION_SQL['authenticationmethod']}
         UNION ALL
-        SELECT DISTINCT k % 30 AS id, 'candidate ' || CAST(k % 30 AS STRING) AS name, 'from events' AS description
-        FROM ({AUTHN}) WHERE k % 30 NOT IN (SELECT id FROM {DIMENSION_SQL['authenticationmethod']})""",
+        SELECT k % 30 AS id, min('candidate ' || CAST(event_id AS STRING)) AS name, 'from events' AS description
+        FROM ({AUTHN}) WHERE k % 30 NOT IN (SELECT id FROM {DIMENSION_SQL['authenticationmethod']}) GROUP BY 1""",
 )
 def a8_dim_insert_if_absent(spark, sf_dir):
-    number = F.col("k") % 30
     candidates = feeds.authn_events(spark, sf_dir).select(
-        number.alias("id"),
-        F.concat(F.lit("candidate "), number.cast("string")).alias("name"),
+        (F.col("k") % 30).alias("id"),
+        F.concat(F.lit("candidate "), F.col("event_id").cast("string")).alias("name"),
         F.lit("from events").alias("description"),
     )
     return lookups.insert_if_absent(current_dimensions(spark)["authenticationmethod"], candidates)
@@ -394,6 +398,25 @@ def a9_quarantine(spark, sf_dir):
     return tables.read_quarantine(spark, root).select("msg_id", _error_codes(F.col("errors")))
 
 
+@query(
+    "a9_reprocess",
+    f"""SELECT event_id AS msg_id, {RAW_OUTCOME} AS codes FROM ({AUTHZ}) WHERE event_id % 8 <> 5 AND {RAW_OUTCOME} <> ''
+        UNION ALL
+        SELECT count(*), 'accepted' FROM ({AUTHZ}) WHERE event_id % 8 <> 5 AND {RAW_OUTCOME} = ''""",
+)
+def a9_reprocess(spark, sf_dir):
+    """What is left of the quarantine, and the number of events, once partitions came that were missing."""
+    root = scratch_dir(spark, "a9r") + "/authz"
+    raw, dimensions = feeds.stored(spark, sf_dir, "raw_messages"), current_dimensions(spark)
+    too_early = _catalog(spark, dt.date(1990, 1, 1))
+    tables.write_checked(check_authz(raw, dimensions, too_early), root, "authz", "queue")
+    for _ in range(2):
+        reprocess(spark, root, "authz", dimensions, _catalog(spark, EVENTS_DAY))
+    left = tables.read_quarantine(spark, root).select("msg_id", _error_codes(F.col("errors")))
+    taken = tables.read_accepted(spark, root, "authz").agg(F.count("*").alias("msg_id"), F.lit("accepted").alias("codes"))
+    return left.unionByName(taken)
+
+
 # --- envelopes ----------------------------------------------------------------
 
 
@@ -440,7 +463,7 @@ def b4_base64(spark, sf_dir):
         .when(case == 5, F.regexp_replace(encoded, "(.{60})", "$1\n"))
         .otherwise(encoded)
     )
-    messages = feeds.table(spark, sf_dir, "documents", spread=True).select("doc_id", body.cast("binary").alias("body"))
+    messages = feeds.table(spark, sf_dir, "documents").select("doc_id", body.cast("binary").alias("body"))
     content = messages.select("doc_id", env.strict_base64(F.col("body")).alias("content"))
     return content.select("doc_id", F.length("content").alias("n_bytes"), F.md5("content").alias("content_md5"))
 
@@ -487,7 +510,7 @@ def b7_version_dispatch(spark, sf_dir):
 )
 def b8_brotli(spark, sf_dir):
     """Whole texts, compressed and decompressed; some streams lack their end."""
-    packed = feeds.table(spark, sf_dir, "documents", spread=True).select(
+    packed = feeds.table(spark, sf_dir, "documents").select(
         "doc_id", brotli_compress(F.col("text").cast("binary")).alias("packed")
     )
     cut = F.substring("packed", F.lit(1), F.length("packed") - 5)
@@ -584,7 +607,7 @@ def d5_variant(spark, sf_dir):
         F.col("event_id").cast("string"),
         F.lit('"}'),
     )
-    documents = feeds.table(spark, sf_dir, "events", spread=True).select("event_id", json_or_text(text).alias("doc"))
+    documents = feeds.table(spark, sf_dir, "events").select("event_id", json_or_text(text).alias("doc"))
     return documents.select(
         "event_id",
         F.try_variant_get("doc", "$.a", "string").alias("outer_key"),
@@ -602,7 +625,7 @@ def d5_variant(spark, sf_dir):
         FROM events""",
 )
 def d6_created_utc(spark, sf_dir):
-    events = feeds.table(spark, sf_dir, "events", spread=True)
+    events = feeds.table(spark, sf_dir, "events")
     micro = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
     case = F.col("event_id") % 6
     text = (
@@ -653,7 +676,7 @@ def d8_defaults(spark, sf_dir):
         .when(F.col("event_id") % 3 == 1, F.lit("{}"))
         .otherwise(F.lit('{"EventType":null,"IsAuthenticated":null}'))
     )
-    parsed = parse_authn(feeds.table(spark, sf_dir, "events", spread=True).select("event_id", body.alias("body")))
+    parsed = parse_authn(feeds.table(spark, sf_dir, "events").select("event_id", body.alias("body")))
     return parsed.select("event_id", "eventtypeid", "isauthenticated", _error_codes(errors_map(F.col("problems"))))
 
 
@@ -802,13 +825,10 @@ def c5_route(spark, sf_dir):
         FROM ({AUTHN}) e
         LEFT JOIN (SELECT * FROM {DIMENSION_SQL['authenticationeventtype']}) t ON t.id = e.eventtypeid
         LEFT JOIN (SELECT * FROM {DIMENSION_SQL['authenticationlevel']}) l ON l.id = e.authenticationlevelid
-        LEFT JOIN (SELECT * FROM {DIMENSION_SQL['authenticationmethod']}) m ON m.id = e.authenticationmethodid
-        WHERE e.created >= TIMESTAMP '2024-01-01' AND e.created < TIMESTAMP '2024-02-01'""",
+        LEFT JOIN (SELECT * FROM {DIMENSION_SQL['authenticationmethod']}) m ON m.id = e.authenticationmethodid""",
 )
 def c6_decode_authn(spark, sf_dir):
-    events = readouts.with_month(feeds.authn_events(spark, sf_dir))
-    january = readouts.time_range(events, dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1))
-    named = lookups.decode_names(january, "authn", current_dimensions(spark))
+    named = lookups.decode_names(feeds.authn_events(spark, sf_dir), "authn", current_dimensions(spark))
     return named.select("event_id", _plain("created"), "eventtype", "authenticationlevel", "authenticationmethod")
 
 
@@ -912,17 +932,16 @@ RETENTIONS = (0, 1, 2, 3, 22, 23, 24)
     "f7_partitions_to_drop",
     f"""SELECT as_of, retention_months, {_describe_sql('m')} FROM (
           SELECT as_of, retention_months, CAST({MONTH.format('as_of')} - INTERVAL 1 MONTH * n AS DATE) AS m
-          FROM (SELECT max(CAST(o_orderdate AS DATE)) AS as_of FROM orders GROUP BY date_trunc('month', o_orderdate)) d
+          FROM {ORDER_DAYS} d
           CROSS JOIN (VALUES {', '.join(f'({n})' for n in RETENTIONS)}) AS r(retention_months)
           CROSS JOIN range(0, 24) AS b(n)
           WHERE n > retention_months) p
         CROSS JOIN (VALUES ('authentication'), ('authz')) AS s(schema_name)""",
 )
 def f7_partitions_to_drop(spark, sf_dir):
-    """Drop lists of the last day with orders in every month, for several retention times."""
+    """Drop lists of every day that has orders, for several retention times."""
     kept = F.explode(F.array(*[F.lit(n) for n in RETENTIONS]))
-    by_month = _orders(spark, sf_dir).groupBy(months.month_start(F.col("created")).alias("month"))
-    days = by_month.agg(F.max(F.to_date("created")).alias("as_of")).withColumn("retention_months", kept)
+    days = _order_days(spark, sf_dir).withColumn("retention_months", kept)
     return partitions.partitions_to_drop(days, F.col("retention_months"), ("as_of", "retention_months"))
 
 
@@ -1011,12 +1030,27 @@ def g2_union_versions(spark, sf_dir):
     events = conform(feeds.authz_events(spark, sf_dir), "authz")
     tables.rewrite_by_year(events.drop("subject_party_uuid"), f"{root}/eventlog")
     tables.append_events(events, f"{root}/eventlogv1")
-    old = spark.read.parquet(f"{root}/eventlog").drop("created_year")
+    old = tables.read_first_generation(spark, f"{root}/eventlog", "authz")
     new = tables.read_events(spark, f"{root}/eventlogv1", "authz").drop("created_month")
     both = readouts.union_generations(old, new)
     return both.select(_plain("created"), "operation", "decision", "subject_party_uuid")
 
 
+@query(
+    "g2_union_authn",
+    f"""SELECT {_select(_stored(AUTHN_TYPED, 'authn'))} FROM ({AUTHN}) CROSS JOIN (VALUES (1), (2)) AS twice(n)""",
+)
+def g2_union_authn(spark, sf_dir):
+    """The first generation of the authentication table, by year, and the present one, by month, as one."""
+    root = scratch_dir(spark, "g2n")
+    events = conform(feeds.authn_events(spark, sf_dir), "authn")
+    tables.rewrite_by_year(events, f"{root}/eventlog")
+    tables.append_events(events, f"{root}/eventlogv1")
+    old = tables.read_first_generation(spark, f"{root}/eventlog", "authn")
+    new = tables.read_events(spark, f"{root}/eventlogv1", "authn").drop("created_month")
+    return _plain_events(readouts.union_generations(old, new), AUTHN_COLUMNS)
+
+
 @query(
     "h1_time_range_scan",
     """SELECT o_orderkey, o_orderdate AS created FROM orders
@@ -1024,8 +1058,9 @@ def g2_union_versions(spark, sf_dir):
 )
 def h1_time_range_scan(spark, sf_dir):
     path = scratch_dir(spark, "h1") + "/orders"
-    tables.append_events(_orders(spark, sf_dir), path, rebalance=True)
-    found = readouts.time_range(spark.read.parquet(path), dt.datetime(1997, 3, 10), dt.datetime(1997, 6, 5, 12))
+    orders = _orders(spark, sf_dir)
+    tables.append_events(orders, path, rebalance=True)
+    found = tables.read_range(spark, path, orders.schema, dt.datetime(1997, 3, 10), dt.datetime(1997, 6, 5, 12))
     return found.select("o_orderkey", _plain("created"))
 
 
@@ -1036,13 +1071,19 @@ def h1_time_range_scan(spark, sf_dir):
         FROM ({ORDER_MONTHS} UNION
               SELECT s.schema_name, 'eventlogv1_y2002m01', DATE '2002-01-01', DATE '2002-02-01'
               FROM (VALUES ('authentication'), ('authz')) AS s(schema_name)) c
-        LEFT JOIN orders o ON {MONTH.format('o.o_orderdate')} = c.start_date
+        LEFT JOIN (SELECT 'authentication' AS kind, o_orderkey, o_orderdate FROM orders
+                   UNION ALL
+                   SELECT 'authz', o_orderkey, o_orderdate + INTERVAL 45 DAY FROM orders WHERE o_orderstatus <> 'O') o
+          ON o.kind = c.schema_name AND {MONTH.format('o.o_orderdate')} = c.start_date
         GROUP BY ALL""",
 )
 def h2_partition_stats(spark, sf_dir):
     empty = partitions.describe_months(partitions.on_day(spark, dt.date(2002, 1, 1)), F.col("as_of"))
     catalog = _order_months(spark, sf_dir).unionByName(empty)
-    stats = readouts.partition_stats(readouts.with_month(_orders(spark, sf_dir)), catalog)
+    orders = _orders(spark, sf_dir).select("created", "o_orderstatus")
+    later = orders.where("o_orderstatus <> 'O'").withColumn("created", F.expr("created + INTERVAL 45 DAYS"))
+    events = readouts.with_partition(orders, "authn").unionByName(readouts.with_partition(later, "authz"))
+    stats = readouts.partition_stats(events, catalog)
     return stats.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_created", "last_created")})
 
 
@@ -1071,41 +1112,49 @@ def h3_context_flatten(spark, sf_dir):
 # --- continuous ingest --------------------------------------------------------
 
 
-def _stream(spark: SparkSession, path: str, kind: str, day: dt.date) -> str:
-    """Ingest all messages below a folder through a stream; returns the root of the tables."""
+def _stream(spark: SparkSession, path: str, kind: str, day: dt.date, times: int = 1) -> str:
+    """Ingest all messages below a folder through as many streams into one root; returns the root of the tables."""
     root = scratch_dir(spark, f"stream-{kind}")
     save_catalog(_catalog(spark, day), f"{root}/catalog")
     dimensions = current_dimensions(spark)
-    running = start_ingest(
-        read_messages(spark, path, kind, streaming=True),
-        kind,
-        f"{root}/events",
-        f"{root}/state",
-        lambda: dimensions,
-        lambda: load_catalog(spark, f"{root}/catalog"),
-        trigger={"availableNow": True},
-    )
-    running.awaitTermination()
+    running = [
+        start_ingest(
+            read_messages(spark, path, kind, streaming=True),
+            kind,
+            f"{root}/events",
+            f"{root}/state-{n}",
+            lambda: dimensions,
+            lambda: load_catalog(spark, f"{root}/catalog"),
+            name=f"{kind}-{n}-{uuid.uuid4().hex}",
+            trigger={"availableNow": True},
+        )
+        for n in range(times)
+    ]
+    for stream in running:
+        stream.awaitTermination()
     return f"{root}/events"
 
 
 @query(
     "s1_stream_authn",
     f"""SELECT {_select(_stored(AUTHN_PARSED, 'authn'))}, {MONTH.format('created')} AS created_month
-        FROM (SELECT * FROM ({AUTHN}) WHERE {AUTHN_OUTCOME} = '')""",
+        FROM (SELECT * FROM ({AUTHN}) WHERE {AUTHN_OUTCOME} = '') CROSS JOIN (VALUES (1), (2)) AS twice(n)""",
 )
 def s1_stream_authn(spark, sf_dir):
-    root = _stream(spark, feeds.stored_path(spark, sf_dir, "authn_messages"), "authn", EVENTS_DAY)
+    """Two streams with checkpoints of their own, side by side into one root."""
+    root = _stream(spark, feeds.stored_path(spark, sf_dir, "authn_messages"), "authn", EVENTS_DAY, 2)
     return _plain_events(tables.read_accepted(spark, root, "authn"), AUTHN_COLUMNS, "created_month")
 
 
 @query(
     "s2_stream_authz",
     f"""SELECT {_select(_stored(AUTHZ_PARSED, 'authz') | CONTEXT_READS)}, {MONTH.format('created')} AS created_month
-        FROM (SELECT * FROM ({AUTHZ}) WHERE event_id % 8 <> 5 AND {RAW_OUTCOME} = '')""",
+        FROM (SELECT * FROM ({AUTHZ}) WHERE event_id % 8 <> 5 AND {RAW_OUTCOME} = '')
+        CROSS JOIN (VALUES (1), (2)) AS twice(n)""",
 )
 def s2_stream_authz(spark, sf_dir):
-    root = _stream(spark, feeds.stored_path(spark, sf_dir, "raw_messages"), "authz", EVENTS_DAY)
+    """Two streams with checkpoints of their own, side by side into one root."""
+    root = _stream(spark, feeds.stored_path(spark, sf_dir, "raw_messages"), "authz", EVENTS_DAY, 2)
     stored = tables.read_accepted(spark, root, "authz")
     return _plain_events(stored, AUTHZ_COLUMNS, "created_month", *_context_reads())
 
