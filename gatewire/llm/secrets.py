@@ -86,14 +86,14 @@ def window_entropies(text: str, window: int):
     counts: dict[str, int] = {}
     total = 0.0
     for at, new in enumerate(text):
-        c = counts.get(new, 0)
-        counts[new] = c + 1
-        total += part[c + 1] - part[c]
         if at >= window:
             old = text[at - window]
             c = counts[old]
             counts[old] = c - 1
             total += part[c - 1] - part[c]
+        c = counts.get(new, 0)
+        counts[new] = c + 1
+        total += part[c + 1] - part[c]
         if at >= window - 1:
             yield at - window + 1, part[window] / window - total / window
 
