@@ -76,7 +76,7 @@ def statistics(column: pa.Array) -> np.ndarray:
             root(np.minimum(of["mark"] / per_word, 9)), root(np.minimum(of["exclamation"] / per_word, 9)),
             root(np.minimum(of["stop"] / per_word, 4)), root(np.minimum(of["other"] / per_word, 4)),
             root(np.minimum(of["break"] / per_word, 4)), of["blank"] / per_byte, of["not_ascii"] / per_byte,
-            different / np.maximum(n, 1) ** 0.85, 1 - distinct_shingles / np.maximum(n_shingles, 1),
+            different / np.maximum(n, 1) ** 0.85, (n_shingles - distinct_shingles) / np.maximum(n_shingles, 1),
         ]
     )
 
