@@ -138,7 +138,8 @@ def in_order(rows: DataFrame, bounds: list, descending: bool) -> DataFrame:
         rows = rows.withColumn("__to", F.explode(both)).select(*rows.columns, F.col("__to.b").alias("__bucket"), F.col("__to.t").alias("__tail"))
         order = [F.col("__tail"), F.col("__id").desc_nulls_last(), F.col("__text")]
     else:
-        rows = rows.withColumn("__bucket", bucket)
+        last = F.lit(max(len(bounds) - 1, 0))
+        rows = rows.withColumn("__bucket", F.when(F.col("__id").isNull(), last).otherwise(bucket))
         order = [F.col("__id").asc_nulls_last(), F.col("__text")]
     return rows.repartitionById(max(len(bounds), 1), "__bucket").sortWithinPartitions(*order)
 
