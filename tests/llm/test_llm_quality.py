@@ -1,0 +1,93 @@
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from llm_fixtures import prose
+
+from gatewire.llm import quality
+
+LABELS = "doc_id long, quality int, toxic int, __label string"
+
+
+def noisy(seed, n):
+    rnd = random.Random(seed)
+    return " ".join(w + rnd.choice(["###", "$$$", "&&&"]) for w in prose(seed, n).split())
+
+
+@pytest.fixture(scope="module")
+def made():
+    """900 plain or noisy documents, two thirds with a label."""
+    rnd = random.Random(1)
+    rows, labels = [], []
+    for i in range(900):
+        good = rnd.random() < 0.7
+        n = rnd.randrange(3, 200)
+        rows.append((i, prose(i, n) + "." if good else noisy(i, n), int(good)))
+        if i % 3:
+            labels.append((i, int(good), 0, "x"))
+    return rows, labels
+
+
+def test_held_out_rows_are_told_apart(spark, made):
+    rows, labels = made
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r for r in quality.scores(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    assert len(got) == len(rows)
+    held = [(got[i], good) for i, _, good in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items())
+    assert np.mean([r["predicted"] == good for r, good in held]) > 0.97
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+
+
+def test_held_out_labels_are_not_learnt(spark, made):
+    rows, labels = made
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    turned = [(i, 1 - q if zlib.crc32(str(i).encode()) % 3 == 1 else q, t, x) for i, q, t, x in labels]
+    one, two = (
+        {r["doc_id"]: round(r["score"], 9) for r in quality.scores(docs, spark.createDataFrame(part, LABELS)).collect()}
+        for part in (labels, turned)
+    )
+    assert one == two
+
+
+def test_odd_rows(spark, odd_docs, odd_rows):
+    labels = [(i, i % 2, 0, None) for i in range(12)] + [(None, 1, 0, None), (3, None, 0, None), (0, 1, 0, None), (99, 1, 0, None)]
+    got = quality.scores(odd_docs, spark.createDataFrame(labels, LABELS)).collect()
+    assert sorted(repr(r["doc_id"]) for r in got) == sorted(repr(r[0]) for r in odd_rows)
+    assert all(0 <= r["score"] <= 1 for r in got)
+    empty = {r["score"] for r in got if r["doc_id"] in (2, 3)}
+    assert len(empty) == 1
+
+
+def test_without_labels_or_rows(spark, odd_docs, no_docs, made):
+    none = spark.createDataFrame([], LABELS)
+    assert {r["score"] for r in quality.scores(odd_docs, none).collect()} == {0.5}
+    assert quality.scores(no_docs, spark.createDataFrame(made[1], LABELS)).count() == 0
+    assert quality.keep_good(odd_docs, none).count() == odd_docs.count()
+    assert quality.keep_good(odd_docs, none).columns == odd_docs.columns
+    same = spark.createDataFrame([(i, 0, 0, "") for i in range(12)], LABELS)
+    assert {r["score"] for r in quality.scores(odd_docs, same).collect()} == {0.0}
+
+
+def test_rejected_rows_go(spark, made):
+    rows, labels = made
+    docs = spark.createDataFrame(rows, "doc_id long, text string, good int")
+    kept = quality.keep_good(docs, spark.createDataFrame(labels, LABELS)).collect()
+    scores = {r["doc_id"]: r["predicted"] for r in quality.scores(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    assert sorted(r["doc_id"] for r in kept) == sorted(i for i, p in scores.items() if p)
+
+
+def test_statistics_do_not_depend_on_the_batch(monkeypatch):
+    texts = [prose(1, 40), None, "", "A|B|C!!", noisy(2, 30), "é" * 50, "same line\n" * 20]
+    whole = quality.statistics(pa.array(texts))
+    assert np.allclose(whole, np.vstack([quality.statistics(pa.array([t], pa.string())) for t in texts]))
+    monkeypatch.setattr(quality.W, "CHUNK", 37)
+    assert np.allclose(whole, quality.statistics(pa.array(texts)))
+    assert not whole[1].any() and not whole[2].any()
+
+
+def test_pooling():
+    assert quality.pooled(np.array([1.0, 0.0, 2.0, 1.0]), np.ones(4)).tolist() == [0.5, 0.5, 1.5, 1.5]
+    assert quality.pooled(np.array([0.0, 1.0]), np.array([1.0, 5.0])).tolist() == [0.0, 1.0]
