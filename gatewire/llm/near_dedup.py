@@ -32,6 +32,8 @@ REGISTERS = 256
 BAND_ROWS = 6
 BANDS = REGISTERS // BAND_ROWS
 THRESHOLD = 0.8
+TILE_ROWS = 2048
+TILE_BYTES = 32 << 20
 
 _U = np.uint64
 
@@ -198,6 +200,80 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
+def _spanning(threshold: float):
+    """Links between different components among the rows of a tile, as few as join what belongs together."""
+
+    def run(table):
+        column = table.column("__text").combine_chunks()
+        values, of, weight, _, _ = weighted_shingles(column)
+        n = len(column)
+        begin = np.searchsorted(of, np.arange(n + 1))
+        plain = np.maximum.reduceat(np.append(weight, 1.0), np.minimum(begin[:-1], len(weight))) == 1.0 if n else np.zeros(0, bool)
+        sizes = np.diff(begin)
+        # only shingles of two texts or more can be common
+        _, token, texts_with = np.unique(values, return_inverse=True, return_counts=True)
+        common = np.flatnonzero(texts_with > 1)
+        place = np.full(len(texts_with), -1)
+        place[common] = np.arange(len(common))
+        at = place[token]
+        shared = np.zeros((n, n), np.float32)
+        for low in range(0, len(common), 8192):
+            here = (at >= low) & (at < low + 8192)
+            part = np.zeros((n, min(8192, len(common) - low)), np.float32)
+            part[of[here], at[here] - low] = 1
+            shared += part @ part.T
+        near = shared / np.maximum(sizes[:, None] + sizes[None, :] - shared, 1)
+        exact = plain[:, None] & plain[None, :]
+        idents, root = table.column("__id").to_pylist(), table.column("root").to_pylist()
+        group = {}
+
+        def find(x):
+            while group.get(x, x) != x:
+                group[x] = group.get(group[x], group[x])
+                x = group[x]
+            return x
+
+        u, v = [], []
+        for i, j in zip(*np.nonzero(np.triu((shared > 0) & (~exact | (near >= threshold - 1e-6)), 1))):
+            a, b = find(root[i]), find(root[j])
+            if a == b:
+                continue
+            sides = [(values[begin[k] : begin[k + 1]], weight[begin[k] : begin[k + 1]]) for k in (i, j)]
+            if similarity(*sides[0], *sides[1]) >= threshold - 1e-12:
+                group[max(a, b)] = min(a, b)
+                u.append(idents[i]), v.append(idents[j])
+        kind = table.schema.field("__id").type
+        return pa.table({"u": pa.array(u, kind), "v": pa.array(v, kind)})
+
+    return run
+
+
+def across(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links that join different components of ``members`` (rep, centre, root), where rep and centre share a bucket.
+
+    Members that are connected through buckets form a cluster.  A cluster is cut
+    into tiles of at most about TILE_ROWS texts or TILE_BYTES, each pair of its
+    parts being one; a task holds one tile and returns at most a spanning forest,
+    so no pair of texts is ever a row.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
+    clusters = components(members.select(F.col("rep").alias("u"), F.col("centre").alias("v")))
+    one = members.select("rep", "root").distinct()
+    one = one.join(clusters, one["rep"] == clusters["node"], "left").select("rep", one["root"], F.coalesce(clusters["root"], "rep").alias("cluster"))
+    one = stored(one, "clusters")
+    full = texts.join(one, texts["__id"] == one["rep"]).select("cluster", "__id", "root", "__text").distinct()
+    full = stored(full, "tiles")
+    parts = full.groupBy("cluster").agg(
+        F.greatest(F.ceil(F.count("*") / (TILE_ROWS / 2)), F.ceil(F.sum(F.length("__text")) / (TILE_BYTES / 2))).cast("int").alias("n")
+    )
+    own = F.when(F.col("n") <= 2, 0).otherwise(F.pmod(F.xxhash64("__id"), F.col("n"))).cast("int")
+    other = F.explode(F.when(F.col("n") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1)))
+    tiled = full.join(parts, "cluster").withColumn("own", own).withColumn("other", other)
+    tiled = tiled.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "__id", "root", "__text")
+    found = tiled.groupBy("cluster", "i", "j").applyInArrow(_spanning(threshold), f"u {kind}, v {kind}")
+    return stored(found, "links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id): one row per row of ``docs``; class_id is the least id of the class."""
     ready(docs.sparkSession)
@@ -212,30 +288,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     centres = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).filter("n > 1")
     shared = stored(members.join(centres, "bucket").select("bucket", "rep", "centre"), "shared")
 
-    # every member against the least of its bucket; then, where a bucket still holds
-    # several components, those outside its largest against the members of other components
-    pairs = shared.filter("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct()
-    tested = stored(pairs, "pairs")
+    # every member against the least of its bucket, which joins nearly all that belong together
+    tested = stored(shared.filter("rep <> centre").select(F.col("rep").alias("u"), F.col("centre").alias("v")).distinct(), "pairs")
     links = stored(verified(tested, rows, threshold), "links")
     roots = components(links)
     placed = shared.join(roots, shared["rep"] == roots["node"], "left").select(
-        "bucket", "rep", F.coalesce("root", "rep").alias("root")
-    )
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    open_buckets = sizes.groupBy("bucket").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")
-    ).filter("roots > 1")
-    placed = stored(placed.join(open_buckets, "bucket").select("bucket", "rep", "root", "main"), "open")
-    a, b = placed.filter("root <> main").alias("a"), placed.alias("b")
-    more = (
-        a.join(b, F.col("a.bucket") == F.col("b.bucket"))
-        .filter("a.root <> b.root and (b.root = b.main or a.rep > b.rep)")
-        .select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v"))
-        .distinct()
-        .join(tested, ["u", "v"], "left_anti")
+        "bucket", "rep", "centre", F.coalesce("root", "rep").alias("root")
     )
-    more_links = verified(stored(more, "pairs"), rows, threshold)
-    roots = components(links.unionByName(more_links))
+    # then, where a bucket still holds several components, all of them against each other
+    several = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
+    left_over = stored(placed.join(several, "bucket", "left_semi").select("rep", "centre", "root").distinct(), "open")
+    more = across(left_over, rows, threshold)
+    roots = components(links.unionByName(more))
 
     classes = groups.join(roots, groups["rep"] == roots["node"], "left").select(
         "__key", F.coalesce("root", "rep").alias("class_id")
