@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as W
-from .common import ready, slices, stored
+from .common import partitions, ready, slices, stored
 
 REGISTERS = 256
 BAND_ROWS = 6
@@ -270,6 +270,8 @@ def across(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     other = F.explode(F.when(F.col("n") <= 2, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1)))
     tiled = full.join(parts, "cluster").withColumn("own", own).withColumn("other", other)
     tiled = tiled.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "__id", "root", "__text")
+    # the join has left all tiles of a cluster in one partition
+    tiled = tiled.repartition(partitions(texts.sparkSession), "cluster", "i", "j")
     found = tiled.groupBy("cluster", "i", "j").applyInArrow(_spanning(threshold), f"u {kind}, v {kind}")
     return stored(found, "links")
 
