@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ready, slices
 
 LONG = 64
-CACHE = 400_000
+CACHE = 200_000
 BLOCK = 200_000
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 
 # One contraction per word and step; the last step of a word holds its tokens.
 _SHORT = """
@@ -111,7 +111,7 @@ class Codec:
         vocabulary = pa.table(
             {"id": pa.array(list(self.ranks.values()), pa.int32()), "hex": pa.array([t.hex() for t in self.ranks])}
         )
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "preserve_insertion_order": False})
         self.con.register("read_merges", merges)
         self.con.register("read_vocabulary", vocabulary)
         # alone: some merge with this token ranks before the token itself
@@ -212,7 +212,7 @@ def _digests(content, pattern: str, with_ids: bool):
     def run(batches):
         codec = Codec.of(content.value, pattern)
         for batch in batches:
-            for part in slices(batch, "__text", 4 << 20):
+            for part in slices(batch, "__text", 2 << 20):
                 texts = [t or "" for t in part.column("__text").to_pylist()]
                 rows = len(texts)
                 tokens, encoded, decoded = [0] * rows, [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
@@ -226,7 +226,7 @@ def _digests(content, pattern: str, with_ids: bool):
                             kept[number].append(ids)
                         waiting.append((number, ids))
                         size += len(ids)
-                    if size > 4_000_000 or number < 0:
+                    if size > 2_000_000 or number < 0:
                         for (owner, _), content_of in zip(waiting, codec.decode([ids for _, ids in waiting])):
                             decoded[owner].update(content_of)
                         waiting, size = [], 0

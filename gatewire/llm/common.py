@@ -10,14 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewire.session import scratch_dir
 
+#: Text that Spark hands a Python worker at a time; its default of 64 MB is held on both sides.
+BATCH_BYTES = "8m"
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package also where only the driver's ``sys.path`` has it.
+    """Let Python workers import this package also where only the driver's ``sys.path`` has it, and bound their batches.
 
     A cluster installs the package on its nodes; there the added entry does no harm.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     environment = spark.sparkContext.environment
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in known:
@@ -68,7 +72,7 @@ def bucket_of(value: Column, bounds: list) -> Column:
     return F.coalesce(F.when(value.isNotNull(), at), F.lit(0)).cast("int")
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20, rows: int = 4096):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, rows: int = 4096):
     """Parts of a batch with at most ``most`` bytes of text in ``column``, or a single row."""
     texts = batch.column(column)
     if not batch.num_rows:

@@ -121,7 +121,7 @@ def weighted_shingles(column: pa.Array):
 
 def _signed(batches):
     for batch in batches:
-        for part in slices(batch, "__text"):
+        for part in slices(batch, "__text", 3 << 20):
             texts = part.column("__text")
             values, of, weight, words, owner = weighted_shingles(texts)
             sig = bands(signatures(values, of, weight, len(texts)))
@@ -144,8 +144,7 @@ def _signed(batches):
 def _verified(threshold: float):
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
+            for part in slices(batch, "__ta", 2 << 20, 256):
                 sides = []
                 for name in ("__ta", "__tb"):
                     column = part.column(name).dictionary_encode()
