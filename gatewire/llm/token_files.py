@@ -41,7 +41,7 @@ BLOCK = 1024
 PERCENTILE = 95
 END_ID = 2
 SEGMENT_IDS = 1 << 20
-CACHE = 500_000
+CACHE = 1_500_000
 
 _HEAD = struct.Struct("<4siqi")
 _BLOCK_HEAD = struct.Struct("<IBH")
