@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, fingerprint, language_id, licenses, lm_score, near_dedup, quality, secrets, token_files
+from . import (
+    bpe,
+    centroids,
+    decontaminate,
+    fingerprint,
+    hard_negatives,
+    language_id,
+    licenses,
+    lm_score,
+    near_dedup,
+    quality,
+    secrets,
+    token_files,
+)
 from .common import table
 
 
@@ -65,6 +78,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), path)
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every usable vector after ten rounds, with the inertia of its cluster and of all."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives for every anchor and each of its positives."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
@@ -76,6 +99,12 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_licenses": op10_licenses,
+    "op11_centroids": op11_centroids,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
-ORACLES = {"op5_decontaminate": decontaminate.oracle()}
+ORACLES = {
+    "op5_decontaminate": decontaminate.oracle(),
+    "op11_centroids": centroids.oracle(),
+    "op12_hard_negatives": hard_negatives.oracle(),
+}
