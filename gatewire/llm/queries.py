@@ -17,6 +17,7 @@ from . import (
     quality,
     secrets,
     token_files,
+    toxicity,
 )
 from .common import table
 
@@ -88,6 +89,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt from the labels that aren't held out."""
+    return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_byte_bpe": op2_byte_bpe,
@@ -101,6 +107,7 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_centroids": op11_centroids,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLES = {
