@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gatewire.functions.months import retention_cutoff
 from gatewire.operators import partitions as p
-from gatewire.sources.catalog import load_catalog, save_catalog
+from gatewire.sources.catalog import update_catalog
 from gatewire.sources.tables import drop_months, stored_months
 from gatewire.vocabulary import SCHEMA_NAMES
 
@@ -49,10 +49,9 @@ def run_maintenance(
     The new list is in force before any folder goes, so no row is accepted into
     a month that is about to vanish.  What to delete follows from the day and
     the folders, not from the list, so a run that dies in between is finished
-    by the next one.
+    by the next one.  Runs side by side keep each other's partitions.
     """
-    after = maintain(load_catalog(spark, catalog_root, missing_ok=True), as_of, enabled, retention_months, unbounded)
-    save_catalog(after, catalog_root)
+    update_catalog(spark, catalog_root, lambda present: maintain(present, as_of, enabled, retention_months, unbounded))
     if not enabled:
         return []
     # At most 24 months for two schemas.

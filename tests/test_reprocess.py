@@ -126,8 +126,8 @@ def test_lists_of_jobs_side_by_side_do_not_meet(spark, tmp_path):
     for n in range(8):
         gatewire.save_catalog(months(spark, dt.date(2000 + n, 1, 1)), root)
     assert gatewire.load_catalog(spark, root).agg(F.max("start_date")).first()[0] == dt.date(2007, 2, 1)
-    assert len(folders.matching(spark, f"{root}/version=*")) == 5
-    spark.range(1).write.parquet(f"{root}/version=00000099-unfinished")
+    assert len(folders.matching(spark, f"{root}/list-*")) == 5
+    spark.range(1).write.parquet(f"{root}/list-unfinished")
     assert gatewire.load_catalog(spark, root).agg(F.max("start_date")).first()[0] == dt.date(2007, 2, 1)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -974,6 +975,24 @@ def f9_maintain(spark, sf_dir):
     return load_catalog(spark, root)
 
 
+@query(
+    "f9_side_by_side",
+    f"""SELECT DISTINCT {_describe_sql('m')} FROM (
+          SELECT CAST({MONTH.format('d')} + INTERVAL 1 MONTH * n AS DATE) AS m
+          FROM (SELECT unnest([min(o_orderdate), max(o_orderdate) FILTER (o_orderstatus = 'F'), max(o_orderdate)]) AS d FROM orders)
+          CROSS JOIN (VALUES (-1), (0), (1)) AS t(n)) p
+        CROSS JOIN (VALUES ('authentication'), ('authz')) AS s(schema_name)""",
+)
+def f9_side_by_side(spark, sf_dir):
+    """The list after maintenance runs for the first and last day with orders and the last with fulfilled ones, all at once."""
+    root = scratch_dir(spark, "f9s") + "/catalog"
+    day, fulfilled = F.to_date("created"), F.col("o_orderstatus") == "F"
+    days = list(_orders(spark, sf_dir).agg(F.min(day), F.max(F.when(fulfilled, day)), F.max(day)).first())
+    with ThreadPoolExecutor(len(days)) as runs:
+        list(runs.map(lambda day: run_maintenance(spark, root, {}, day), days))
+    return load_catalog(spark, root)
+
+
 @query(
     "f11_partition_exists",
     """SELECT schema_name, name, start_date, end_date FROM (
