@@ -135,6 +135,14 @@ def test_held_out_labels_are_not_learnt(spark, frames, made):
     assert one == two
 
 
+def test_a_sample_of_the_labels(frames, made):
+    """Fewer rows to learn from than there are: about so many, the same whenever it is asked for."""
+    rows = toxicity.labelled(*frames, "doc_id", "text", "toxic", sample=200)
+    found = sorted(r["__text"] for r in rows.collect())
+    assert 120 < len(found) < 280 and found == sorted(r["__text"] for r in rows.collect())
+    assert toxicity.labelled(*frames, "doc_id", "text", "toxic").count() == sum(not held(i) for i, *_ in made[1])
+
+
 def test_odd_rows(spark, odd_docs, odd_rows):
     labels = [(i, 0, i % 2, None) for i in range(12)] + [(None, 0, 1, None), (3, 0, None, None), (0, 0, 1, None), (99, 0, 1, None)]
     got = toxicity.scores(odd_docs, spark.createDataFrame(labels, LABELS)).collect()
