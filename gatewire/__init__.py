@@ -5,11 +5,12 @@ from gatewire.operators.lookups import decode_names, insert_if_absent
 from gatewire.operators.parse import authn_to_json, conform, parse_authn, parse_authz
 from gatewire.operators.readouts import flatten_context, partition_stats, time_range, union_generations
 from gatewire.operators.validate import split, validate
+from gatewire.plans.compact import compact
 from gatewire.plans.ingest import accepted, check_authn, check_authz, check_authz_documents, rejected
 from gatewire.plans.maintenance import maintain, run_maintenance
 from gatewire.plans.reprocess import reprocess
 from gatewire.session import build_session, configure
-from gatewire.sources.catalog import load_catalog, save_catalog
+from gatewire.sources.catalog import load_catalog, save_catalog, update_catalog
 from gatewire.sources.dimensions import current_dimensions, load_dimensions, save_dimensions, seed_dimensions
 from gatewire.sources.messages import as_messages, read_messages
 from gatewire.sources.tables import (
@@ -20,6 +21,8 @@ from gatewire.sources.tables import (
     read_events,
     read_quarantine,
     read_range,
+    read_resting,
+    stored_stats,
     rewrite_by_year,
     write_checked,
 )

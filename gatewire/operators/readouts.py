@@ -40,13 +40,19 @@ def partition_stats(events: DataFrame, catalog: DataFrame) -> DataFrame:
     (see ``with_partition``).  Counting happens before the shuffle, so a month holding most of the rows
     costs no more than any other.
     """
-    found = events.groupBy("schema_name", F.col("created_month").alias("start_date")).agg(
+    found = events.groupBy("schema_name", "created_month").agg(
         F.count("*").alias("n_rows"),
         F.min("created").alias("first_created"),
         F.max("created").alias("last_created"),
     )
+    return listed_stats(found, catalog)
+
+
+def listed_stats(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Statistics that there are, by ``schema_name`` and ``created_month``, for each listed partition; others show 0."""
+    known = found.withColumnRenamed("created_month", "start_date")
     return (
-        catalog.join(found, ["schema_name", "start_date"], "left")
+        catalog.join(known, ["schema_name", "start_date"], "left")
         .select(*catalog.columns, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "first_created", "last_created")
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from gatewire.functions.months import retention_cutoff
 from gatewire.operators import partitions as p
 from gatewire.sources.catalog import update_catalog
-from gatewire.sources.tables import drop_months, stored_months
+from gatewire.sources.tables import drop_months, drop_refused, stored_months
 from gatewire.vocabulary import SCHEMA_NAMES
 
 
@@ -43,6 +43,8 @@ def run_maintenance(
     enabled: bool = False,
     retention_months: int = 1,
     unbounded: bool = False,
+    refused: list[str] | None = None,
+    refused_months: int | None = None,
 ) -> list[str]:
     """Bring list and tables (``authn`` / ``authz`` -> path) up to date; returns the deleted folders.
 
@@ -50,6 +52,10 @@ def run_maintenance(
     a month that is about to vanish.  What to delete follows from the day and
     the folders, not from the list, so a run that dies in between is finished
     by the next one.  Runs side by side keep each other's partitions.
+
+    Refused messages have a time axis of their own, that of their arrival: below the
+    roots in ``refused`` those that came more than ``refused_months`` months before go, however old;
+    without that number all stay.
     """
     update_catalog(spark, catalog_root, lambda present: maintain(present, as_of, enabled, retention_months, unbounded))
     if not enabled:
@@ -64,4 +70,8 @@ def run_maintenance(
         else:
             months = [row.start_date for row in due if row.schema_name == SCHEMA_NAMES[kind]]
         deleted += drop_months(spark, path, months)
+    if refused_months is not None:
+        oldest = p.on_day(spark, as_of).select(retention_cutoff(F.col("as_of"), refused_months)).first()[0]
+        for root in refused or []:
+            deleted += drop_refused(spark, root, oldest)
     return deleted

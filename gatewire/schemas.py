@@ -46,7 +46,8 @@ FACT_COLUMNS_V0 = {
 DIMENSION_DDL = "id INT, name STRING, description STRING"
 CATALOG_DDL = "schema_name STRING, name STRING, start_date DATE, end_date DATE"
 MESSAGE_DDL = {"authn": "msg_id BIGINT, body STRING", "authz": "msg_id BIGINT, body BINARY"}
-QUARANTINE_DDL = "msg_id BIGINT, body BINARY, errors MAP<STRING, STRING>"
+# With the number of tries that a refused message has had, and when it first came.
+QUARANTINE_DDL = "msg_id BIGINT, body BINARY, errors MAP<STRING, STRING>, attempts INT, arrived TIMESTAMP"
 
 CONTEXT_REQUEST_DDL = """
     struct<

@@ -47,6 +47,12 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(hadoop_path).getLength()
 
 
+def modified(spark: SparkSession, path: str) -> float:
+    """Seconds since 1970 at which a file or folder was last changed."""
+    hadoop_path, fs = _path(spark, path)
+    return fs.getFileStatus(hadoop_path).getModificationTime() / 1000
+
+
 def mark(spark: SparkSession, path: str) -> None:
     """Create an empty file."""
     hadoop_path, fs = _path(spark, path)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 import gatewire
 from gatewire.operators import lookups, partitions
-from gatewire.plans import reprocess as retry
 from gatewire.plans.ingest import check_authn, check_authz
 from gatewire.sources import folders, tables
 
@@ -53,27 +52,123 @@ def test_messages_pass_once_their_month_is_there(spark, dimensions, refused):
         assert state(spark, refused) == (["2024-03-05"] * 3 + ["2024-06-05"] * 3, [3, 3, 3])
 
 
-@pytest.mark.parametrize("dies", ["mark", "delete"])
+@pytest.mark.parametrize("dies", ["before writing", "before the list", "before deleting", "while deleting"])
 def test_a_run_that_dies_is_made_good(spark, dimensions, refused, monkeypatch, dies):
     march = months(spark, dt.date(2024, 3, 1))
     with monkeypatch.context() as patch:
-        if dies == "mark":
-            patch.setattr(folders, "mark", lambda *_: 1 / 0)
+        if dies == "before writing":
+            patch.setattr(tables, "store", lambda *_: 1 / 0)
+        elif dies == "before the list":
+            patch.setattr(folders, "create_whole", lambda *_: 1 / 0)
         else:
             deleted = []
 
-            def once(spark, path, really=folders.delete_matching):
-                if "/ingest_batch=" in path and path.endswith(".parquet"):
-                    deleted.append(path)
-                    if len(deleted) > 1:
-                        raise ZeroDivisionError
-                return really(spark, path)
+            def some(spark, path, really=folders.delete):
+                if len(deleted) == (dies == "while deleting"):
+                    raise ZeroDivisionError
+                deleted.append(path)
+                really(spark, path)
 
-            patch.setattr(folders, "delete_matching", once)
+            patch.setattr(folders, "delete", some)
         with pytest.raises(ZeroDivisionError):
             gatewire.reprocess(spark, refused, "authn", dimensions, march)
     gatewire.reprocess(spark, refused, "authn", dimensions, march)
     assert state(spark, refused) == (["2024-03-05"] * 3, [2, 2, 2, 3, 3, 3])
+    # a run that died isn't a try, or is one: never more than that
+    assert {r.attempts for r in gatewire.read_quarantine(spark, refused).collect()} <= {2, 3}
+
+
+def put(spark, dimensions, root, batch, days, open_months, **more):
+    messages = spark.createDataFrame([(i, day(d)) for i, d in enumerate(days)], "msg_id long, body string")
+    gatewire.write_checked(check_authn(messages, dimensions, open_months), root, "authn", batch, **more)
+
+
+def test_names_that_look_like_further_tries(spark, dimensions, tmp_path):
+    """A user's batch x~1 isn't what was made of the refused messages of x."""
+    root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
+    put(spark, dimensions, root, "x", ["1990-01-01"], march)
+    for name in ("x~1", "x~r1", "x~7Er1"):
+        put(spark, dimensions, root, name, ["2024-03-01", "2024-03-02"], march)
+    gatewire.reprocess(spark, root, "authn", dimensions, march)
+    assert state(spark, root) == (["2024-03-01"] * 3 + ["2024-03-02"] * 3, [0])
+
+
+ODD_NAMES = ["day-*", "day-1", "day-2", "2024-05-01T10:00", "{a,b}", "[a-z]", "a%2Fb", "a/b", "x~1", "bulk", "~u", "æ ø", "a=b", "?", "^", "\\", "..", "_x", ".x"]
+
+
+def test_any_name_stands_for_itself(spark, dimensions, tmp_path):
+    """No name matches another one's folder, and each replaces what it stored itself."""
+    root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
+    for _ in range(2):
+        for name in ODD_NAMES:
+            put(spark, dimensions, root, name, ["2024-03-01", "1990-01-01"], march)
+    assert state(spark, root) == (["2024-03-01"] * len(ODD_NAMES), [1] * len(ODD_NAMES))
+    with pytest.raises(ValueError):
+        put(spark, dimensions, root, "", ["2024-03-01"], march)
+
+
+def test_unnamed_rows_have_no_name_to_be_replaced_by(spark, dimensions, tmp_path):
+    root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
+    for name in (None, "bulk", None, "bulk", None):
+        put(spark, dimensions, root, name, ["2024-03-01"], march)
+    assert gatewire.read_accepted(spark, root, "authn").count() == 4
+
+
+def test_a_replay_replaces_what_was_made_of_its_refused_messages(spark, dimensions, tmp_path):
+    root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
+    put(spark, dimensions, root, "b", ["2024-03-01", "1990-01-01"], months(spark, dt.date(2000, 1, 1)))
+    gatewire.reprocess(spark, root, "authn", dimensions, march)
+    assert state(spark, root) == (["2024-03-01"], [1])
+    put(spark, dimensions, root, "b", ["2024-03-01", "1990-01-01"], march)
+    assert state(spark, root) == (["2024-03-01"], [1])
+
+
+def test_messages_rest_after_enough_tries(spark, dimensions, refused):
+    none = months(spark, dt.date(2023, 1, 1))
+    counts = []
+    for _ in range(5):
+        gatewire.reprocess(spark, refused, "authn", dimensions, none, tries=3)
+        waiting, resting = gatewire.read_quarantine(spark, refused), gatewire.read_resting(spark, refused)
+        counts.append((waiting.count(), resting.count()))
+    assert counts == [(9, 0)] + [(0, 9)] * 4
+    rows = gatewire.read_resting(spark, refused).collect()
+    assert {r.attempts for r in rows} == {3}
+    assert {(r.msg_id, *r.errors) for r in rows} == {(1, "no_partition"), (2, "no_partition"), (3, "not_object")}
+    # resting ones are no more work
+    assert gatewire.reprocess(spark, refused, "authn", dimensions, months(spark, dt.date(2024, 3, 1))) == 0
+
+
+def test_many_batches_in_several_jobs(spark, dimensions, refused):
+    march = months(spark, dt.date(2024, 3, 1))
+    assert gatewire.reprocess(spark, refused, "authn", dimensions, march, at_once=2) == 3
+    assert state(spark, refused) == (["2024-03-05"] * 3, [2, 2, 2, 3, 3, 3])
+
+
+def test_refused_messages_go_by_their_arrival(spark, dimensions, tmp_path):
+    """Old ones go, young ones in the same run stay, tried again or resting; events aren't concerned."""
+    root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
+    for month in (1, 5, 7):
+        put(spark, dimensions, root, f"m{month}", ["2024-03-01", "1990-01-01"], march, arrived=dt.datetime(2024, month, 31, 23, 59))
+    gatewire.reprocess(spark, root, "authn", dimensions, march)
+    put(spark, dimensions, root, "m5b", ["1990-01-01"], march, arrived=dt.datetime(2024, 5, 1))
+    gatewire.reprocess(spark, root, "authn", dimensions, march, tries=3)
+
+    def left():
+        kept = gatewire.read_quarantine(spark, root).unionByName(gatewire.read_resting(spark, root))
+        return sorted((r.arrived.month, r.attempts) for r in kept.select("attempts", F.col("arrived").cast("timestamp_ntz").alias("arrived")).collect())
+
+    assert left() == [(1, 3), (5, 2), (5, 3), (7, 3)]
+
+    def run(kept):
+        return gatewire.run_maintenance(
+            spark, f"{tmp_path}/c", {}, dt.date(2024, 7, 2), enabled=True, retention_months=24, refused=[root], refused_months=kept
+        )
+
+    assert run(None) == [] and run(6) == []
+    assert run(2) and left() == [(5, 2), (5, 3), (7, 3)]
+    assert run(1) and left() == [(7, 3)]
+    assert not run(0) and left() == [(7, 3)]
+    assert gatewire.read_accepted(spark, root, "authn").count() == 3
 
 
 def test_enveloped_messages(spark, dimensions, tmp_path):

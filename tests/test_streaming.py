@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 import gatewire
@@ -150,3 +151,32 @@ def test_streams_with_checkpoints_of_their_own_keep_each_others_events(spark, di
         )
         query.awaitTermination()
     assert ingest.accepted().count() == 8
+
+
+@pytest.mark.parametrize("name", ["authn:eu", "authn-*", "{a}", "a/b", "x~1"])
+def test_streams_of_any_name_restart(spark, dimensions, tmp_path, name):
+    """A restart looks for what the same stream stored, and for nothing else."""
+    gatewire.save_catalog(plan(spark, dt.date(2023, 9, 1)), f"{tmp_path}/catalog")
+
+    def run(label, state):
+        gatewire.start_ingest(
+            gatewire.read_messages(spark, f"{tmp_path}/in", "authn", streaming=True),
+            "authn",
+            f"{tmp_path}/out",
+            f"{tmp_path}/{state}",
+            lambda: dimensions,
+            lambda: gatewire.load_catalog(spark, f"{tmp_path}/catalog"),
+            name=label,
+            trigger={"availableNow": True},
+        ).awaitTermination()
+
+    for n in range(2):
+        spark.createDataFrame([(n, text(AUTHN)), (n, "null")], "msg_id long, body string").write.mode("append").parquet(f"{tmp_path}/in")
+        run("authn-other", "other")
+        run(name, "state")
+    for note in (tmp_path / "state" / "commits").iterdir():
+        if note.name.endswith("1"):
+            note.unlink()
+    run(name, "state")
+    assert gatewire.read_accepted(spark, f"{tmp_path}/out", "authn").count() == 4
+    assert gatewire.read_quarantine(spark, f"{tmp_path}/out").count() == 4
