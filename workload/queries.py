@@ -32,12 +32,13 @@ from gatewire.operators.parse import (
     parse_authz,
     stored_decision,
 )
+from gatewire.plans.compact import compact
 from gatewire.plans.ingest import accepted, check_authn, check_authz, check_authz_documents
 from gatewire.plans.maintenance import maintain, run_maintenance
 from gatewire.plans.reprocess import reprocess
 from gatewire.schemas import AUTHN_COLUMNS, AUTHZ_COLUMNS
 from gatewire.session import configure, scratch_dir
-from gatewire.sources import tables
+from gatewire.sources import batches, folders, tables, zones
 from gatewire.sources.catalog import load_catalog, save_catalog
 from gatewire.sources.dimensions import current_dimensions, load_dimensions, save_dimensions, seed_dimensions
 from gatewire.sources.messages import read_messages
@@ -418,6 +419,31 @@ def a9_reprocess(spark, sf_dir):
     return left.unionByName(taken)
 
 
+@query(
+    "a9_attempts",
+    f"""SELECT event_id AS msg_id, {RAW_OUTCOME} AS codes,
+               CASE WHEN event_id % 2 = 0 THEN 3 ELSE 2 END AS attempts, event_id % 2 = 0 AS resting
+        FROM ({AUTHZ}) WHERE event_id % 8 <> 5 AND {RAW_OUTCOME} <> ''
+        UNION ALL
+        SELECT count(*), 'accepted', NULL, NULL FROM ({AUTHZ}) WHERE event_id % 8 <> 5 AND {RAW_OUTCOME} = ''""",
+)
+def a9_attempts(spark, sf_dir):
+    """Two batches, one named like a further try of the other: refused messages with their tries, of which they get three."""
+    root = scratch_dir(spark, "a9a") + "/authz"
+    raw, dimensions = feeds.stored(spark, sf_dir, "raw_messages"), current_dimensions(spark)
+    too_early, open_months = _catalog(spark, dt.date(1990, 1, 1)), _catalog(spark, EVENTS_DAY)
+    for rest, batch in enumerate(("queue", "queue~1")):
+        part = raw.where(F.col("msg_id") % 2 == rest)
+        tables.write_checked(check_authz(part, dimensions, too_early), root, "authz", batch)
+        reprocess(spark, root, "authz", dimensions, open_months, tries=3)
+    kinds = {False: tables.read_quarantine(spark, root), True: tables.read_resting(spark, root)}
+    columns = ["msg_id", _error_codes(F.col("errors")), "attempts"]
+    left = [rows.select(*columns, F.lit(resting).alias("resting")) for resting, rows in kinds.items()]
+    accepted_count = [F.count("*").alias("msg_id"), F.lit("accepted").alias("codes")]
+    taken = tables.read_accepted(spark, root, "authz").agg(*accepted_count)
+    return left[0].unionByName(left[1]).unionByName(taken, allowMissingColumns=True)
+
+
 # --- envelopes ----------------------------------------------------------------
 
 
@@ -913,6 +939,39 @@ def f5_partitioned_write(spark, sf_dir):
     return spark.read.parquet(path).select("o_orderkey", _plain("created"), "created_month")
 
 
+ACCEPTED_AUTHN = f"SELECT {_select(_stored(AUTHN_PARSED, 'authn'))} FROM ({AUTHN}) WHERE {AUTHN_OUTCOME} = ''"
+
+
+def _batches(spark: SparkSession, sf_dir: str, label: str, count: int) -> str:
+    """Root of a table to which all authentication messages came in so many batches."""
+    root = scratch_dir(spark, label) + "/authn"
+    messages = feeds.stored(spark, sf_dir, "authn_messages")
+    for n in range(count):
+        part = messages.where(F.col("msg_id") % count == n)
+        checked = check_authn(part, current_dimensions(spark), _catalog(spark, EVENTS_DAY))
+        tables.write_checked(checked, root, "authn", f"{n}", tried_before=False)
+    return root
+
+
+@query(
+    "f5_compact",
+    f"""SELECT sessionid, created, {MONTH.format('created')} AS created_month, 1 AS n_folders FROM ({ACCEPTED_AUTHN})""",
+)
+def f5_compact(spark, sf_dir):
+    """Events in months joined from four batches, one of which was stored once more after that; and folders by month."""
+    root = _batches(spark, sf_dir, "f5c", 4)
+    compact(spark, root, "authn", grace=0)
+    again = feeds.stored(spark, sf_dir, "authn_messages").where("msg_id % 4 = 1")
+    tables.write_checked(check_authn(again, current_dimensions(spark), _catalog(spark, EVENTS_DAY)), root, "authn", "1")
+    for _ in range(2):  # the second run deletes what the first has replaced
+        compact(spark, root, "authn", grace=0)
+    found = batches.paths(spark, root, "accepted")
+    counted = spark.createDataFrame([(path.split("created_month=")[1][:10],) for path in found], "month string")
+    counted = counted.groupBy(F.col("month").cast("date").alias("created_month")).agg(F.count("*").cast("int").alias("n_folders"))
+    events = tables.read_accepted(spark, root, "authn").select("sessionid", _plain("created"), "created_month")
+    return events.join(F.broadcast(counted), "created_month")
+
+
 @query(
     "f6_cutoff",
     f"""SELECT o_orderkey,
@@ -960,6 +1019,23 @@ def f8_drop_partitions(spark, sf_dir):
     return spark.read.parquet(f"{root}/orders").select("o_orderkey", "created_month")
 
 
+@query(
+    "f8_drop_refused",
+    f"""SELECT msg_id, codes, CAST(TIMESTAMP '2024-01-15' - INTERVAL 1 MONTH * CAST(msg_id % 6 AS INTEGER) AS TIMESTAMP) AS arrived
+        FROM (SELECT event_id AS msg_id, {AUTHN_OUTCOME} AS codes FROM ({AUTHN})) WHERE codes <> '' AND msg_id % 6 <= 2""",
+)
+def f8_drop_refused(spark, sf_dir):
+    """Refused messages left after a run that keeps two months of them; each came up to five months before."""
+    root = scratch_dir(spark, "f8r")
+    messages = feeds.stored(spark, sf_dir, "authn_messages")
+    checked = check_authn(messages, current_dimensions(spark), _catalog(spark, EVENTS_DAY))
+    arrived = F.add_months(F.lit(EVENTS_DAY), -(F.col("msg_id") % 6).cast("int")).cast("timestamp")
+    tables.write_checked(checked, f"{root}/authn", "authn", "feed", arrived=arrived)
+    run_maintenance(spark, f"{root}/catalog", {}, EVENTS_DAY, True, 24, refused=[f"{root}/authn"], refused_months=2)
+    left = tables.read_quarantine(spark, f"{root}/authn")
+    return left.select("msg_id", _error_codes(F.col("errors")), _plain("arrived"))
+
+
 @query(
     "f9_maintain",
     f"""SELECT * FROM ({ORDER_MONTHS}) WHERE start_date < DATE '1999-09-01' OR end_date > DATE '2001-06-01'
@@ -1083,6 +1159,44 @@ def h1_time_range_scan(spark, sf_dir):
     return found.select("o_orderkey", _plain("created"))
 
 
+@query(
+    "h1_zone_range",
+    f"""SELECT sessionid, created, created_month, less_than_all FROM (
+          SELECT sessionid, created, {MONTH.format('created')} AS created_month, TRUE AS less_than_all FROM ({ACCEPTED_AUTHN}))
+        WHERE created >= TIMESTAMP '2024-01-11 06:00:00' AND created < TIMESTAMP '2024-01-11 18:00:00'""",
+)
+def h1_zone_range(spark, sf_dir):
+    """Half a day of a month that was joined into eight files, and whether fewer files than there are were read for it."""
+    root = _batches(spark, sf_dir, "h1z", 2)
+    size = sum(folders.size(spark, path) for path in batches.paths(spark, root, "accepted", month="2024-01-01"))
+    compact(spark, root, "authn", file_bytes=max(1, size // 8), grace=0)
+    found = tables.read_accepted_range(spark, root, "authn", dt.datetime(2024, 1, 11, 6), dt.datetime(2024, 1, 11, 18))
+    there = zones.files(spark, root, "2024-01-01")
+    fewer = F.lit(len(found.inputFiles()) < len(there)).alias("less_than_all")
+    return found.select("sessionid", _plain("created"), "created_month", fewer)
+
+
+@query(
+    "h2_stored_stats",
+    f"""SELECT c.schema_name, c.name, c.start_date, c.end_date, count(e.created) AS n_rows,
+               min(e.created) AS first_created, max(e.created) AS last_created
+        FROM (SELECT {_describe_sql('m')}
+              FROM (VALUES (DATE '2023-12-01'), (DATE '2024-01-01'), (DATE '2024-02-01')) AS p(m)
+              CROSS JOIN (VALUES ('authentication'), ('authz')) AS s(schema_name)) c
+        LEFT JOIN ({ACCEPTED_AUTHN}) e
+          ON c.schema_name = 'authentication' AND {MONTH.format('e.created')} = c.start_date
+        GROUP BY ALL""",
+)
+def h2_stored_stats(spark, sf_dir):
+    """Statistics from what was noted when files were written, after a replay and joining; no event is read for them."""
+    root = _batches(spark, sf_dir, "h2s", 2)
+    again = feeds.stored(spark, sf_dir, "authn_messages").where("msg_id % 2 = 1")
+    tables.write_checked(check_authn(again, current_dimensions(spark), _catalog(spark, EVENTS_DAY)), root, "authn", "1")
+    compact(spark, root, "authn")
+    stats = tables.stored_stats(spark, {"authn": root}, _catalog(spark, EVENTS_DAY))
+    return stats.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("first_created", "last_created")})
+
+
 @query(
     "h2_partition_stats",
     f"""SELECT c.schema_name, c.name, c.start_date, c.end_date, count(o.o_orderkey) AS n_rows,
