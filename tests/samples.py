@@ -71,3 +71,18 @@ def v01(document):
 
 def b64(data):
     return base64.b64encode(data)
+
+
+def checked_events(spark, events, open_months):
+    """What checking authentication messages gives, made by hand as that is quick: (sessionid, instant) and months as text."""
+    from gatewire.schemas import AUTHN_COLUMNS
+
+    rows = [
+        (i, text(AUTHN, SessionId=name, Created=f"{at}Z"), name, at, at[:7] in open_months)
+        for i, (name, at) in enumerate(events)
+    ]
+    made = spark.createDataFrame(rows, "msg_id long, body string, sessionid string, at string, is_valid boolean").coalesce(1)
+    given = {"sessionid": "sessionid", "created": "CAST(at AS TIMESTAMP)", "isauthenticated": "FALSE"}
+    columns = [f"{given.get(c, f'CAST(NULL AS {t})')} AS {c}" for c, t in AUTHN_COLUMNS.items()]
+    errors = "CASE WHEN is_valid THEN map() ELSE map('no_partition', 'Created') END AS errors"
+    return made.selectExpr("msg_id", "body", errors, "is_valid", *columns)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 import gatewire
 from gatewire.operators import partitions, readouts
 from gatewire.plans import compact as compaction
-from gatewire.plans.ingest import check_authn, check_authz
+from gatewire.plans.ingest import check_authz
 from gatewire.sources import batches, commits, folders, merged, tables, zones
 
-from samples import AUTHN, AUTHZ, text
+from samples import AUTHZ, checked_events, text
 
 MARCH, APRIL = "2024-03-01", "2024-04-01"
 
@@ -22,13 +22,12 @@ def open_months(spark):
 
 
 @pytest.fixture
-def put(spark, dimensions, open_months, tmp_path):
+def put(spark, tmp_path):
     """Store events of some instants as a batch."""
 
-    def store(batch, *instants, months=open_months):
-        rows = [(i, text(AUTHN, SessionId=f"{batch}/{i}", Created=f"{at}Z")) for i, at in enumerate(instants)]
-        messages = spark.createDataFrame(rows, "msg_id long, body string").coalesce(1)
-        gatewire.write_checked(check_authn(messages, dimensions, months), str(tmp_path), "authn", batch)
+    def store(batch, *instants):
+        checked = checked_events(spark, [(f"{batch}/{i}", at) for i, at in enumerate(instants)], ("2024-02", "2024-03", "2024-04"))
+        gatewire.write_checked(checked, str(tmp_path), "authn", batch)
 
     return store
 

@@ -1,6 +1,7 @@
 """Second try for refused messages, replays, and lookups with repeated rows."""
 
 import datetime as dt
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 import gatewire
 from gatewire.operators import lookups, partitions
 from gatewire.plans.ingest import check_authn, check_authz
-from gatewire.sources import folders, tables
+from gatewire.sources import batches, folders, tables
 
-from samples import AUTHN, AUTHZ, text, v01
+from samples import AUTHN, AUTHZ, checked_events, text, v01
 
 
 def months(spark, *days):
@@ -78,17 +79,20 @@ def test_a_run_that_dies_is_made_good(spark, dimensions, refused, monkeypatch, d
     assert {r.attempts for r in gatewire.read_quarantine(spark, refused).collect()} <= {2, 3}
 
 
-def put(spark, dimensions, root, batch, days, open_months, **more):
-    messages = spark.createDataFrame([(i, day(d)) for i, d in enumerate(days)], "msg_id long, body string")
-    gatewire.write_checked(check_authn(messages, dimensions, open_months), root, "authn", batch, **more)
+MARCH = ("2024-03",)
+
+
+def put(spark, root, batch, days, open_months=MARCH, **more):
+    checked = checked_events(spark, [(d, f"{d}T12:00:00") for d in days], open_months)
+    gatewire.write_checked(checked, root, "authn", batch, **more)
 
 
 def test_names_that_look_like_further_tries(spark, dimensions, tmp_path):
     """A user's batch x~1 isn't what was made of the refused messages of x."""
     root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
-    put(spark, dimensions, root, "x", ["1990-01-01"], march)
+    put(spark, root, "x", ["1990-01-01"])
     for name in ("x~1", "x~r1", "x~7Er1"):
-        put(spark, dimensions, root, name, ["2024-03-01", "2024-03-02"], march)
+        put(spark, root, name, ["2024-03-01", "2024-03-02"])
     gatewire.reprocess(spark, root, "authn", dimensions, march)
     assert state(spark, root) == (["2024-03-01"] * 3 + ["2024-03-02"] * 3, [0])
 
@@ -96,30 +100,39 @@ def test_names_that_look_like_further_tries(spark, dimensions, tmp_path):
 ODD_NAMES = ["day-*", "day-1", "day-2", "2024-05-01T10:00", "{a,b}", "[a-z]", "a%2Fb", "a/b", "x~1", "bulk", "~u", "æ ø", "a=b", "?", "^", "\\", "..", "_x", ".x"]
 
 
+def test_every_name_has_a_folder_of_its_own():
+    found = [batches.folder_of(name) for name in ODD_NAMES]
+    assert len(set(found)) == len(found)
+    assert all(set(name) <= set(string.ascii_letters + string.digits + "~-._") for name in found)
+    reserved = (batches.UNNAMED, batches.MERGED)
+    assert not any(name.startswith(reserved) or batches.next_try(name) != f"{name}~r1" for name in found)
+    assert batches.next_try("a~r9") == "a~r10" and batches.folder_of(None) != batches.folder_of(None)
+
+
 def test_any_name_stands_for_itself(spark, dimensions, tmp_path):
     """No name matches another one's folder, and each replaces what it stored itself."""
-    root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
-    for _ in range(2):
-        for name in ODD_NAMES:
-            put(spark, dimensions, root, name, ["2024-03-01", "1990-01-01"], march)
-    assert state(spark, root) == (["2024-03-01"] * len(ODD_NAMES), [1] * len(ODD_NAMES))
+    root = str(tmp_path / "t")
+    names = ["day-1", "day-2", "day-*", "2024-05-01T10:00", "[a-z]{,}%2F~?/x"]
+    for name in [*names, *names[2:]]:
+        put(spark, root, name, ["2024-03-01", "1990-01-01"])
+    assert state(spark, root) == (["2024-03-01"] * len(names), [1] * len(names))
     with pytest.raises(ValueError):
-        put(spark, dimensions, root, "", ["2024-03-01"], march)
+        put(spark, root, "", ["2024-03-01"])
 
 
 def test_unnamed_rows_have_no_name_to_be_replaced_by(spark, dimensions, tmp_path):
-    root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
+    root = str(tmp_path / "t")
     for name in (None, "bulk", None, "bulk", None):
-        put(spark, dimensions, root, name, ["2024-03-01"], march)
+        put(spark, root, name, ["2024-03-01"])
     assert gatewire.read_accepted(spark, root, "authn").count() == 4
 
 
 def test_a_replay_replaces_what_was_made_of_its_refused_messages(spark, dimensions, tmp_path):
     root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
-    put(spark, dimensions, root, "b", ["2024-03-01", "1990-01-01"], months(spark, dt.date(2000, 1, 1)))
+    put(spark, root, "b", ["2024-03-01", "1990-01-01"], ())
     gatewire.reprocess(spark, root, "authn", dimensions, march)
     assert state(spark, root) == (["2024-03-01"], [1])
-    put(spark, dimensions, root, "b", ["2024-03-01", "1990-01-01"], march)
+    put(spark, root, "b", ["2024-03-01", "1990-01-01"])
     assert state(spark, root) == (["2024-03-01"], [1])
 
 
@@ -148,9 +161,9 @@ def test_refused_messages_go_by_their_arrival(spark, dimensions, tmp_path):
     """Old ones go, young ones in the same run stay, tried again or resting; events aren't concerned."""
     root, march = str(tmp_path / "t"), months(spark, dt.date(2024, 3, 1))
     for month in (1, 5, 7):
-        put(spark, dimensions, root, f"m{month}", ["2024-03-01", "1990-01-01"], march, arrived=dt.datetime(2024, month, 31, 23, 59))
+        put(spark, root, f"m{month}", ["2024-03-01", "1990-01-01"], arrived=dt.datetime(2024, month, 31, 23, 59))
     gatewire.reprocess(spark, root, "authn", dimensions, march)
-    put(spark, dimensions, root, "m5b", ["1990-01-01"], march, arrived=dt.datetime(2024, 5, 1))
+    put(spark, root, "m5b", ["1990-01-01"], arrived=dt.datetime(2024, 5, 1))
     gatewire.reprocess(spark, root, "authn", dimensions, march, tries=3)
 
     def left():
