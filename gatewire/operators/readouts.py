@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gatewire.functions.months import month_start
 from gatewire.schemas import CONTEXT_REQUEST_DDL
@@ -63,9 +63,19 @@ def flatten_context(events: DataFrame, keep: tuple[str, ...], context: str = "co
     A category without attributes, or an attribute without values, still gives
     one row.
     """
-    request = F.try_variant_get(F.col(context), "$", CONTEXT_REQUEST_DDL)
+    rows = events.select(*keep, request_attributes(context).alias("_attributes"))
+    return flatten_attributes(rows, keep, "_attributes")
+
+
+def request_attributes(context: str) -> Column:
+    """The categories of a stored access request; NULL if it isn't one."""
+    return F.try_variant_get(F.col(context), "$", CONTEXT_REQUEST_DDL)["Attributes"]
+
+
+def flatten_attributes(events: DataFrame, keep: tuple[str, ...], attributes: str) -> DataFrame:
+    """One row per category, attribute and value of a typed column."""
     return (
-        events.select(*keep, F.explode_outer(request["Attributes"]).alias("_category"))
+        events.select(*keep, F.explode_outer(attributes).alias("_category"))
         .select(
             *keep,
             F.col("_category.Category").alias("category"),

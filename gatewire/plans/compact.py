@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession, functions as F
 
-from gatewire.schemas import fact_schema
+from gatewire.operators.shred import shredded
+from gatewire.schemas import SHREDDED_MARK, stored_schema
 from gatewire.sources import batches, folders, merged, zones
 
 #: Bytes that a file should have, as it is stored.
@@ -45,10 +46,12 @@ def compact(
 
 
 def _join(spark: SparkSession, root: str, kind: str, month: str, paths: list[str], file_bytes: int) -> bool:
-    schema = fact_schema(kind)
+    schema = stored_schema(kind)
     files = {file for path in paths for file in folders.matching(spark, f"{path}/*.parquet")}
     size = sum(folders.size(spark, path) for path in paths)
     rows = merged.rows_of(spark, root, sorted(files), merged.with_origin(schema))
+    for name, column in shredded(kind).items():  # rows that were stored before these columns get them now
+        rows = rows.withColumn(name, F.when(F.col(SHREDDED_MARK), F.col(name)).otherwise(column))
     rows = rows.select(*schema.names, F.coalesce(merged.ORIGIN, "ingest_batch").alias(merged.ORIGIN))
     new = merged.write(rows, root, month, max(1, round(size / file_bytes)))
     zones.record(spark, root, [merged.folder_path(root, month, new)])

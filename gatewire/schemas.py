@@ -65,6 +65,27 @@ CONTEXT_REQUEST_DDL = """
           AttributeValues: array<struct<Value: string, DataType: string>>>>>>>
 """
 
+# Beside the request: what flattening reads of it, and a mark that is missing in older files.
+SHREDDED_ATTRIBUTES, SHREDDED_MARK = "contextattributes", "contextshredded"
+SHREDDED_COLUMNS = {
+    "authn": {},
+    "authz": {
+        SHREDDED_ATTRIBUTES: """array<struct<
+            Category: string,
+            Attributes: array<struct<
+                AttributeId: string,
+                Issuer: string,
+                IncludeInResult: boolean,
+                AttributeValues: array<struct<Value: string, DataType: string>>>>>>""",
+        SHREDDED_MARK: "boolean",
+    },
+}
+
+
+def stored_schema(kind: str) -> T.StructType:
+    """Columns of the files of an event table that messages are ingested into."""
+    return _struct(FACT_COLUMNS[kind] | SHREDDED_COLUMNS[kind])
+
 
 def fact_schema(kind: str) -> T.StructType:
     """Newest layout of an event table; reading old files with it yields NULLs for newer columns."""

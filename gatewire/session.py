@@ -12,6 +12,8 @@ SEMANTIC_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # matters only to schemas with column ids
+    "spark.sql.parquet.fieldId.read.enabled": "true",
 }
 
 # The JVM leaves methods beyond 8000 bytes of bytecode to its interpreter, and the parsing of wide

@@ -26,7 +26,8 @@ from pyspark.sql.types import StructType
 
 from gatewire.functions.months import month_start
 from gatewire.operators.readouts import listed_stats, time_range
-from gatewire.schemas import FACT_COLUMNS, QUARANTINE_DDL, fact_schema, first_schema
+from gatewire.operators.shred import flatten_stored, shredded
+from gatewire.schemas import FACT_COLUMNS, QUARANTINE_DDL, fact_schema, first_schema, stored_schema
 from gatewire.sources import batches, folders, merged, zones
 from gatewire.vocabulary import SCHEMA_NAMES
 
@@ -98,6 +99,7 @@ def store(
     refused = F.lit("rejected") if most is None else F.when(attempts >= most, "resting").otherwise("rejected")
     rows = checked.select(
         *[if_good(c, F.col(c).cast(t)) for c, t in FACT_COLUMNS[kind].items()],
+        *[if_good(c, column) for c, column in shredded(kind).items()],
         if_bad("msg_id", F.col("msg_id")),
         if_bad("body", F.col("body").cast("binary")),
         if_bad("errors", F.col("errors")),
@@ -190,6 +192,14 @@ def read_accepted_range(
     return time_range(merged.rows_of(spark, root, paths, fact_schema(kind)).select(*schema.names), start, end)
 
 
+def read_context(spark: SparkSession, root: str, keep: tuple[str, ...]) -> DataFrame:
+    """The access requests of all accepted events, flattened, next to the columns to ``keep``."""
+    paths = merged.visible(spark, root)
+    if paths is None:
+        paths = batches.paths(spark, root, "accepted")
+    return flatten_stored(merged.rows_of(spark, root, paths, stored_schema("authz")), keep)
+
+
 def read_quarantine(spark: SparkSession, root: str) -> DataFrame:
     """Refused messages that will be tried again."""
     return _read_verdict(spark, root, "rejected", quarantine_schema())

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gatewire import vocabulary as v
 from gatewire.functions.brotli import brotli_compress
+from gatewire.operators.shred import shredded
 from gatewire.session import scratch_dir
 
 SPARK = {
@@ -297,10 +298,37 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def authz_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed authorization events with the columns that are stored beside the request."""
+    return authz_events(spark, sf_dir).withColumns(shredded("authz"))
+
+
+def base64_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, body``: whole texts as base64; of ten some with a foreign character, a group cut, or line breaks."""
+    encoded, case = F.base64(F.col("text").cast("binary")), F.col("doc_id") % 10
+    body = (
+        F.when(case == 3, F.concat(encoded, F.lit("*===")))
+        .when(case == 4, F.concat(encoded, F.lit("QUJ")))
+        .when(case == 5, F.regexp_replace(encoded, "(.{60})", "$1\n"))
+        .otherwise(encoded)
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", body.cast("binary").alias("body"))
+
+
+def brotli_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, payload``: whole texts, compressed; one in ten lacks its end."""
+    packed = table(spark, sf_dir, "documents").select("doc_id", brotli_compress(F.col("text").cast("binary")).alias("packed"))
+    cut = F.substring("packed", F.lit(1), F.length("packed") - 5)
+    return packed.select("doc_id", F.when(F.col("doc_id") % 10 == 7, cut).otherwise(F.col("packed")).alias("payload"))
+
+
 FEEDS = {
     "authn_messages": authn_messages,
     "authz_documents": authz_documents,
     "raw_messages": raw_messages,
+    "authz_table": authz_table,
+    "base64_texts": base64_texts,
+    "brotli_texts": brotli_texts,
 }
 _stored: dict[tuple[str, str, str], str] = {}
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from gatewire import vocabulary as v
 from gatewire.functions import envelope as env
 from gatewire.functions import months
-from gatewire.functions.brotli import brotli_compress, brotli_decompress
+from gatewire.functions.brotli import brotli_decompress
 from gatewire.functions.json_fields import decode_choice, json_or_text, parse_created
 from gatewire.functions.problems import errors_map
 from gatewire.operators import lookups, partitions, readouts
@@ -32,6 +32,7 @@ from gatewire.operators.parse import (
     parse_authz,
     stored_decision,
 )
+from gatewire.operators.shred import flatten_stored
 from gatewire.plans.compact import compact
 from gatewire.plans.ingest import accepted, check_authn, check_authz, check_authz_documents
 from gatewire.plans.maintenance import maintain, run_maintenance
@@ -41,7 +42,9 @@ from gatewire.session import configure, scratch_dir
 from gatewire.sources import batches, folders, tables, zones
 from gatewire.sources.catalog import load_catalog, save_catalog
 from gatewire.sources.dimensions import current_dimensions, load_dimensions, save_dimensions, seed_dimensions
+from gatewire.sources.generations import Registry, append_generation, read_generation
 from gatewire.sources.messages import read_messages
+from gatewire.sources.queue import read_queue, send
 from gatewire.streaming.ingest import start_ingest
 from workload import feeds
 
@@ -482,15 +485,7 @@ def b3_version(spark, sf_dir):
 )
 def b4_base64(spark, sf_dir):
     """Whole texts as base64; some with a foreign character, some with a group cut, some with line breaks."""
-    encoded = F.base64(F.col("text").cast("binary"))
-    case = F.col("doc_id") % 10
-    body = (
-        F.when(case == 3, F.concat(encoded, F.lit("*===")))
-        .when(case == 4, F.concat(encoded, F.lit("QUJ")))
-        .when(case == 5, F.regexp_replace(encoded, "(.{60})", "$1\n"))
-        .otherwise(encoded)
-    )
-    messages = feeds.table(spark, sf_dir, "documents").select("doc_id", body.cast("binary").alias("body"))
+    messages = feeds.stored(spark, sf_dir, "base64_texts")
     content = messages.select("doc_id", env.strict_base64(F.col("body")).alias("content"))
     return content.select("doc_id", F.length("content").alias("n_bytes"), F.md5("content").alias("content_md5"))
 
@@ -537,12 +532,8 @@ def b7_version_dispatch(spark, sf_dir):
 )
 def b8_brotli(spark, sf_dir):
     """Whole texts, compressed and decompressed; some streams lack their end."""
-    packed = feeds.table(spark, sf_dir, "documents").select(
-        "doc_id", brotli_compress(F.col("text").cast("binary")).alias("packed")
-    )
-    cut = F.substring("packed", F.lit(1), F.length("packed") - 5)
-    payload = F.when(F.col("doc_id") % 10 == 7, cut).otherwise(F.col("packed"))
-    content = packed.select("doc_id", brotli_decompress(payload).alias("content"))
+    packed = feeds.stored(spark, sf_dir, "brotli_texts")
+    content = packed.select("doc_id", brotli_decompress(F.col("payload")).alias("content"))
     return content.select("doc_id", F.length("content").alias("n_bytes"), F.md5("content").alias("content_md5"))
 
 
@@ -1146,6 +1137,27 @@ def g2_union_authn(spark, sf_dir):
     return _plain_events(readouts.union_generations(old, new), AUTHN_COLUMNS)
 
 
+@query(
+    "g2_generations",
+    f"""SELECT created, partyuuid, subjectparty, address FROM (
+          SELECT created, NULL AS partyuuid, CAST(subjectparty AS BIGINT) AS subjectparty, ipaddress AS address FROM ({AUTHZ})
+          UNION ALL SELECT created, subject_party_uuid, subjectparty, ipaddress FROM ({AUTHZ})
+          UNION ALL SELECT created, subject_party_uuid, subjectparty + 10000000000, ipaddress FROM ({AUTHZ}))""",
+)
+def g2_generations(spark, sf_dir):
+    """Three generations in one folder: before a column came, with it, and with two renamed and one widened."""
+    path = scratch_dir(spark, "g2g") + "/events"
+    table = Registry({"created": "timestamp", "subjectparty": "int", "ipaddress": "string"})
+    events = feeds.authz_events(spark, sf_dir)
+    append_generation(events, path, table.newest)
+    append_generation(events, path, table.with_column("subject_party_uuid", "string"))
+    table.add(table.newest.renamed(subject_party_uuid="partyuuid", ipaddress="address").widened(subjectparty="bigint"))
+    wide = F.col("subjectparty") + F.lit(10000000000)
+    later = events.withColumnsRenamed({"subject_party_uuid": "partyuuid", "ipaddress": "address"}).withColumn("subjectparty", wide)
+    append_generation(later, path, table.newest)
+    return read_generation(spark, path, table.newest).select(_plain("created"), "partyuuid", "subjectparty", "address")
+
+
 @query(
     "h1_time_range_scan",
     """SELECT o_orderkey, o_orderdate AS created FROM orders
@@ -1238,7 +1250,15 @@ def _flat(category: str, attribute: str, value: str) -> str:
     ),
 )
 def h3_context_flatten(spark, sf_dir):
-    flat = readouts.flatten_context(feeds.authz_events(spark, sf_dir), ("event_id",))
+    """From events as they are stored, with typed columns beside the request."""
+    flat = flatten_stored(feeds.stored(spark, sf_dir, "authz_table"), ("event_id",))
+    return flat.select("event_id", "category", "attribute_id", "value")
+
+
+@query("h3_context_variant", ORACLES["h3_context_flatten"])
+def h3_context_variant(spark, sf_dir):
+    """From the request itself, as in files without typed columns."""
+    flat = readouts.flatten_context(feeds.stored(spark, sf_dir, "authz_table"), ("event_id",))
     return flat.select("event_id", "category", "attribute_id", "value")
 
 
@@ -1292,6 +1312,27 @@ def s2_stream_authz(spark, sf_dir):
     return _plain_events(stored, AUTHZ_COLUMNS, "created_month", *_context_reads())
 
 
+@query("s1_queue_authn", ACCEPTED_AUTHN)
+def s1_queue_authn(spark, sf_dir):
+    """A stream from a queue to which messages are sent eight times, stopped and started again half-way."""
+    root = scratch_dir(spark, "queue")
+    save_catalog(_catalog(spark, EVENTS_DAY), f"{root}/catalog")
+    dimensions, messages = current_dimensions(spark), feeds.stored(spark, sf_dir, "authn_messages")
+    for n in range(8):
+        send(messages.where(F.col("msg_id") % 8 == n), f"{root}/queue")
+        if n % 4 == 3:
+            start_ingest(
+                read_queue(spark, f"{root}/queue", "authn", streaming=True),
+                "authn",
+                f"{root}/events",
+                f"{root}/state",
+                lambda: dimensions,
+                lambda: load_catalog(spark, f"{root}/catalog"),
+                trigger={"availableNow": True},
+            ).awaitTermination()
+    return _plain_events(tables.read_accepted(spark, f"{root}/events", "authn"), AUTHN_COLUMNS)
+
+
 @query(
     "s3_acceptance_window",
     """SELECT o_orderkey AS msg_id,
