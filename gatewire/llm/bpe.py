@@ -12,7 +12,8 @@ ordered aggregate.
 
 The merge table holds every split of a vocabulary entry into two entries, so it
 is bounded by the vocabulary; the file's content is broadcast.  A worker keeps
-the ids of up to ``CACHE`` pieces.
+the ids of up to twice ``CACHE`` pieces: when so many are young they become the old
+ones, of which those that are met again are young once more and the others are forgotten.
 
 Defined cases: NULL counts as empty and gives no ids; special tokens' strings are
 ordinary text; texts are taken in blocks of ``BLOCK`` pieces, however long.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import ready, slices
 
 LONG = 64
-CACHE = 200_000
+CACHE = 300_000
 BLOCK = 200_000
 BATCH_CHARS = 1_000_000
 
@@ -101,6 +102,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         left, right, both = [], [], []
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -181,12 +183,14 @@ class Codec:
         gaps = [i for i, ids in enumerate(looked_up) if None in ids]
         if gaps:
             fresh = {piece for i in gaps for piece, ids in zip(waiting[i][1], looked_up[i]) if ids is None}
+            again = {piece: ids for piece in fresh if (ids := self.old.get(piece)) is not None}
             if len(self.known) + len(fresh) > CACHE:
-                self.known = {}
-                fresh.update(*(waiting[i][1] for i in gaps))
-            self.learn(fresh)
+                self.old, self.known = self.known, {}
+            self.known.update(again)
+            self.learn(fresh - again.keys())
             for i in gaps:
-                looked_up[i] = map(self.known.__getitem__, waiting[i][1])
+                young = map(self.known.get, waiting[i][1])
+                looked_up[i] = [self.old[piece] if ids is None else ids for piece, ids in zip(waiting[i][1], young)]
         return [(number, b"".join(ids), last) for (number, _, last), ids in zip(waiting, looked_up)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
