@@ -12,9 +12,7 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 
 @pytest.fixture(scope="module")
 def library():
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1023, 1024, 1025, 5000])
@@ -36,6 +34,16 @@ def test_blocks_come_back(n, kind):
         assert len(payload) < n  # two bits and a few exceptions, not 32 bits
 
 
+def test_special_strings_are_what_the_library_takes_them_for(library):
+    with open(PATH, "rb") as file:
+        encoder = token_files.Encoder.of(file.read())
+    special = [t.content for t in library.get_added_tokens_decoder().values()]
+    texts = [f"hello {s} world" for s in special] + [f"a{s}b{s}{s} .{s}\n{s}" for s in special]
+    texts += [s.upper() for s in special] + [s[:-1] for s in special] + [f"{s[:3]} {s[3:]}" for s in special]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert special and encoder.encode(texts) == want
+
+
 def expected(rows, library):
     start, out = 0, []
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")) + sorted(
