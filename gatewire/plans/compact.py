@@ -41,7 +41,7 @@ def compact(
         for month, paths in sorted(by_month.items())
         if len(paths) >= at_least and _join(spark, root, kind, month, paths, file_bytes)
     }
-    zones.tidy(spark, root)
+    zones.tidy(spark, root, grace)
     return joined
 
 

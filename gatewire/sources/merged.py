@@ -36,7 +36,15 @@ def _table(root: str) -> str:
 
 
 def _parsed(text: str | None) -> State:
-    return json.loads(text) if text else {}
+    found = json.loads(text) if text else {}
+    for entries in found.values():
+        for entry in entries.values():
+            entry["replaced"] = set(entry["replaced"])
+    return found
+
+
+def _text(found: State) -> str:
+    return json.dumps(found, sort_keys=True, default=sorted)
 
 
 def state(spark: SparkSession, root: str) -> State | None:
@@ -94,7 +102,7 @@ def announce(spark: SparkSession, root: str) -> None:
     commits.update(spark, root, lambda text: "{}" if text is None else None)
 
 
-def replace(spark: SparkSession, root: str, month: str, names: list[str], new: str | None, still: Callable[[State], bool]) -> bool:
+def replace(spark: SparkSession, root: str, month: str, names: list[str], new: str, still: Callable[[State], bool]) -> bool:
     """Let ``new`` count in place of the named folders, if ``still`` holds for the newest version. False if it doesn't."""
     done: list[bool] = []
 
@@ -104,10 +112,9 @@ def replace(spark: SparkSession, root: str, month: str, names: list[str], new: s
         if not done[0]:
             return None
         entries = found.setdefault(month, {})
-        before = [name for old in names for name in entries.pop(old, {"replaced": []})["replaced"]]
-        if new is not None:
-            entries[new] = {"at": int(time.time()), "replaced": sorted({*names, *before})}
-        return json.dumps(found, sort_keys=True)
+        before = [entries.pop(old)["replaced"] for old in names if old in entries]
+        entries[new] = {"at": int(time.time()), "replaced": set(names).union(*before)}
+        return _text(found)
 
     commits.update(spark, root, change)
     return done[0]
@@ -132,7 +139,7 @@ def clean(spark: SparkSession, root: str, grace: float) -> int:
                 del newest[month]
             for month, entries in newest.items():
                 for entry in entries.values():
-                    entry["replaced"] = [name for name in entry["replaced"] if (month, name) not in old]
+                    entry["replaced"] = {name for name in entry["replaced"] if (month, name) not in old}
 
         _edit(spark, root, shorten)
     return len(gone)
@@ -147,7 +154,7 @@ def _edit(spark: SparkSession, root: str, edit: Callable[[State], None]) -> None
     def change(text: str | None) -> str:
         newest = _parsed(text)
         edit(newest)
-        return json.dumps(newest, sort_keys=True)
+        return _text(newest)
 
     commits.update(spark, root, change)
 
@@ -164,7 +171,7 @@ def forget(spark: SparkSession, root: str, names: set[str]) -> None:
     def drop(newest: State) -> None:
         for entries in newest.values():
             for entry in entries.values():
-                entry["replaced"] = [name for name in entry["replaced"] if name not in names]
+                entry["replaced"] -= names
 
     _edit(spark, root, drop)
     found = state(spark, root) or {}

@@ -9,8 +9,10 @@ name of a file never comes again.
 from __future__ import annotations
 
 import datetime as dt
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -18,6 +20,8 @@ from pyspark.sql.types import StructType
 from gatewire.sources import batches, folders, merged
 
 ZONES = "_zones"
+#: Begins the names of folders with all notes there were.
+ALL = "all-"
 KEY = ["created_month", "ingest_batch", "file"]
 SCHEMA = "created_month DATE, ingest_batch STRING, file STRING, n_rows BIGINT, first_created TIMESTAMP, last_created TIMESTAMP"
 
@@ -67,7 +71,7 @@ def files_between(spark: SparkSession, root: str, month: dt.date, start: dt.date
     outside = (F.col("last_created") < since) | (F.col("first_created") >= until)
     try:
         rows = noted(spark, root).where((F.col("created_month") == F.lit(month)) & outside).select(*KEY).collect()
-    except PySparkException:  # the notes were tidied up while they were read
+    except (PySparkException, Py4JJavaError):  # the notes were tidied up while they were read
         return there
     skip = {tuple(row) for row in rows}
     return [path for path in there if _key(path) not in skip]
@@ -87,16 +91,22 @@ def stored_stats(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def tidy(spark: SparkSession, root: str) -> None:
-    """Put all notes into one folder, without those on files that are gone and with those that were missing."""
-    old = folders.matching(spark, f"{root}/{ZONES}/*")
+def tidy(spark: SparkSession, root: str, grace: float) -> None:
+    """Put all notes into one folder, without those on files that are gone and with those that were missing.
+
+    Older folders go with the first run that finds such a folder from ``grace`` seconds ago, so nobody is reading
+    them any more.  Notes that were written meanwhile may go with them; their files are noted again here.
+    """
+    old = {path: folders.modified(spark, path) for path in folders.matching(spark, f"{root}/{ZONES}/*")}
     there = folders.matching(spark, f"{root}/verdict=accepted/created_month=[0-9]*/ingest_batch=*/*.parquet")
+    whole = [when for path, when in old.items() if path.rsplit("/", 1)[1].startswith(ALL) and when <= time.time() - grace]
+    for path, when in old.items():
+        if whole and when < max(whole):
+            folders.delete(spark, path)
     if not there:
         return
     listed = spark.createDataFrame([_key(path) for path in there], "created_month DATE, ingest_batch STRING, file STRING")
     known = noted(spark, root).join(listed, KEY, "left_semi")
     missing = {tuple(row) for row in listed.join(known, KEY, "left_anti").collect()}
     new = measured(spark, root, [path for path in there if _key(path) in missing])
-    known.unionByName(new).coalesce(1).write.parquet(f"{root}/{ZONES}/{uuid.uuid4().hex}")
-    for path in old:
-        folders.delete(spark, path)
+    known.unionByName(new).coalesce(1).write.parquet(f"{root}/{ZONES}/{ALL}{uuid.uuid4().hex}")
