@@ -18,6 +18,10 @@ A block takes its minimum off, packs the differences at the width that
 Documents go to ranges of their id of about equal size; the driver knows only the
 bounds of the ranges, one per shuffle partition.  Splitting a text at ASCII blanks
 doesn't change its ids, so a worker keeps the ids of up to ``CACHE`` such words.
+A new word is normalised and cut into pieces here and only its pieces (of which up to
+``PIECES`` are kept) meet the merges; words with characters newer than Unicode 3.2,
+not in composed form or with strings of special tokens, and all words of files with
+other steps, go through the whole library.
 
 Defined cases: NULL counts as empty, an empty text is its end id; rows of one id
 are ordered by text; rows without an id come last; an empty table gives no rows.
@@ -26,11 +30,15 @@ are ordered by text; rows without an id come last; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import scratch_dir
@@ -42,6 +50,40 @@ PERCENTILE = 95
 END_ID = 2
 SEGMENT_IDS = 1 << 20
 CACHE = 1_500_000
+PIECES = 500_000
+
+#: The steps before the merges in tokenizer files whose words are cut into pieces here.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+def _letters_of_bytes() -> list[str]:
+    """The character that stands for each byte in vocabularies of bytes: itself if it shows, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+class _Usual(dict):
+    """Whether a character is neither blank nor control and as old as Unicode 3.2, so that all agree on its kind."""
+
+    def __missing__(self, char: str) -> bool:
+        self[char] = usual = unicodedata.ucd_3_2_0.category(char)[0] not in "CZ"
+        return usual
+
 
 _HEAD = struct.Struct("<4siqi")
 _BLOCK_HEAD = struct.Struct("<IBH")
@@ -165,7 +207,44 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(content.decode())
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        steps = json.loads(content)
+        self.pattern = None
+        if (steps["normalizer"], steps["pre_tokenizer"]) == (NORMALIZER, PRE_TOKENIZER):
+            self.pattern = regex.compile(PRE_TOKENIZER["pretokenizers"][0]["pattern"]["Regex"])
+        self.usual = _Usual()
+        self.of_bytes = dict(enumerate(_letters_of_bytes()))
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece.encode().decode("latin-1").translate(self.of_bytes)
+        ids = self.pieces[piece] = array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
+        return ids
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of new words, by pieces where that is known to equal the library's way."""
+        if len(self.pieces) > PIECES:
+            self.pieces = {}
+        pieces, usual = self.pieces, self.usual.__getitem__
+        whole = []
+        for word in words:
+            text = word.decode()
+            if (
+                self.pattern is None
+                or not all(map(usual, text))
+                or not unicodedata.is_normalized("NFC", text)
+                or any(s in text for s in self.special)
+            ):
+                whole.append(text)
+                continue
+            # by character: an end of word doesn't change a sigma
+            lower = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+            found = self.pattern.findall(lower)
+            self.known[word] = b"".join([pieces.get(piece) or self._piece(piece) for piece in found])
+        coded = self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)
+        self.known.update((text.encode(), array("I", c.ids).tobytes()) for text, c in zip(whole, coded))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
@@ -179,9 +258,7 @@ class Encoder:
                 new.update(*(words[i] for i in gaps))
             fresh = list(new)
             for low in range(0, len(fresh), 20_000):
-                part = fresh[low : low + 20_000]
-                coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded))
+                self._learn(fresh[low : low + 20_000])
             for i in gaps:
                 found[i] = map(self.known.__getitem__, words[i])
         return [b"".join(ids) for ids in found]

@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -44,6 +46,29 @@ def test_special_strings_are_what_the_library_takes_them_for(library):
     assert special and encoder.encode(texts) == want
 
 
+def test_words_cut_into_pieces_get_the_ids_of_the_library(library):
+    with open(PATH, "rb") as file:
+        encoder = token_files.Encoder.of(file.read())
+    assert encoder.pattern
+    rng = random.Random(11)
+    some = [*"aBz'sStT09.,<|>=!_~-éÉΣσςßİıάΩКЖщ·½Ⅷ²中文あ가🙂—’…«»¿ªºⅧǅϴⴀᲐᏣꭰक़ि̸€№™𐐀𐞀ߪ\x1c\x7f\x85\xa0\u2028", "'re", "'LL", "ΑΣ", " "]
+    texts = ["".join(rng.choices(some, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    texts += ["a" + chr(i) + "." for i in range(0x3000)]
+    want = [np.array(c.ids, "<u4").tobytes() for c in library.encode_batch(texts, add_special_tokens=False)]
+    got = encoder.encode(texts)
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_other_steps_go_through_the_library(library):
+    with open(PATH, "rb") as file:
+        steps = json.load(file)
+    steps["normalizer"] = None
+    content = json.dumps(steps)
+    texts = ["Some WORDS, 12", "naïve"]
+    want = [np.array(c.ids, "<u4").tobytes() for c in Tokenizer.from_str(content).encode_batch(texts, add_special_tokens=False)]
+    assert token_files.Encoder(content.encode()).encode(texts) == want
+
+
 def expected(rows, library):
     start, out = 0, []
     order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")) + sorted(
