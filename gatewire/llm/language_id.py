@@ -17,8 +17,6 @@ count, in parts of bounded size.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -35,7 +33,6 @@ _U = np.uint64
 _PLACES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9))
 _BLANK = np.ones(128, bool)
 _BLANK[ord("a") : ord("z") + 1] = False
-_LETTER = re.compile(r"[^\W\d_]")
 PART = 1 << 20
 
 
@@ -137,7 +134,7 @@ def _predicted(model):
                         logs[of[at]] += np.add.reduceat(terms, at, axis=0)
                 best = logs.argmax(axis=1)
                 share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
-                known = [bool(names) and _LETTER.search(t) is not None for t in texts]
+                known = [bool(names) and any(map(str.isalpha, t)) for t in texts]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("__id"),

@@ -3,8 +3,8 @@
 Patterns (``assign``, ``access``, ``hex``) give the base spans.  Beyond them,
 maximal runs of key characters of at least ``CANDIDATE`` are candidates.  In a
 candidate, every class's runs of its own characters are searched with a window;
-the window's entropy is kept up by counts that change by one character at each
-step.  Windows at or above the class's bound, with as many digits and letters as
+its entropy, digits and letters are kept up by counts that change by one character at
+each step, so a run's time is in proportion to its length.  Windows at or above the class's bound, with as many digits and letters as
 the class asks for, merge into spans of kind ``entropy``.  A span is suppressed if
 it touches a base span or if it, or its candidate, matches the allow list.
 
@@ -18,7 +18,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -40,6 +43,10 @@ CANDIDATE = 20
 RUNS = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 
+DIGITS = frozenset("0123456789")
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 @dataclass(frozen=True)
 class CharacterClass:
     name: str
@@ -49,6 +56,11 @@ class CharacterClass:
     digits: int
     letters: int
 
+    @cached_property
+    def runs(self) -> re.Pattern:
+        """Runs of the class's characters that hold a window."""
+        return re.compile(f"[{re.escape(self.characters)}]{{{self.window},}}")
+
 
 CLASSES = (
     CharacterClass("hex", "0123456789abcdefABCDEF", 24, 3.0, 5, 3),
@@ -80,43 +92,52 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda span: (span[0], KINDS.index(span[2])))
 
 
-def window_entropies(text: str, window: int):
-    """Shannon entropy in bits of each window of ``text``, from counts kept up to date."""
+def dense_spans(run: str, kind: CharacterClass) -> list[tuple[int, int]]:
+    """Joined windows of ``run`` with the class's entropy, digits and letters; the counts change by one character a step."""
+    window = kind.window
     part = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
-    counts: dict[str, int] = {}
+    most = (math.log2(window) - kind.least_bits) * window  # of the sum of c * log2(c)
+    counts = dict.fromkeys(run, 0)
+    digits = letters = 0
     total = 0.0
-    for at, new in enumerate(text):
+    spans: list[tuple[int, int]] = []
+    low = high = -1
+    for at, new in enumerate(run):
         if at >= window:
-            old = text[at - window]
+            old = run[at - window]
             c = counts[old]
             counts[old] = c - 1
             total += part[c - 1] - part[c]
-        c = counts.get(new, 0)
+            if old in DIGITS:
+                digits -= 1
+            elif old in LETTERS:
+                letters -= 1
+        c = counts[new]
         counts[new] = c + 1
         total += part[c + 1] - part[c]
-        if at >= window - 1:
-            yield at - window + 1, part[window] / window - total / window
+        if new in DIGITS:
+            digits += 1
+        elif new in LETTERS:
+            letters += 1
+        # the sum is rounded at each step, so a window at the bound counts as reaching it
+        if at >= window - 1 and total <= most + 1e-9 and digits >= kind.digits and letters >= kind.letters:
+            begin = at - window + 1
+            if begin > high:
+                if high > 0:
+                    spans.append((low, high))
+                low = begin
+            high = at + 1
+    if high > 0:
+        spans.append((low, high))
+    return spans
 
 
 def entropy_spans(candidate: str, classes=CLASSES) -> list[tuple[int, int]]:
     """Merged windows of high entropy within a candidate."""
     hits: list[tuple[int, int]] = []
     for kind in classes:
-        members = set(kind.characters)
-        start = None
-        for at, char in enumerate(candidate + "\0"):
-            if char in members:
-                start = at if start is None else start
-                continue
-            if start is not None and at - start >= kind.window:
-                run = candidate[start:at]
-                for low, bits in window_entropies(run, kind.window):
-                    if bits >= kind.least_bits:
-                        piece = run[low : low + kind.window]
-                        digits = sum(c.isdigit() for c in piece)
-                        if digits >= kind.digits and sum(c.isalpha() for c in piece) >= kind.letters:
-                            hits.append((start + low, start + low + kind.window))
-            start = None
+        for run in kind.runs.finditer(candidate):
+            hits += [(run.start() + low, run.start() + high) for low, high in dense_spans(run.group(), kind)]
     merged: list[list[int]] = []
     for low, high in sorted(hits):
         if merged and low <= merged[-1][1]:
@@ -129,13 +150,16 @@ def entropy_spans(candidate: str, classes=CLASSES) -> list[tuple[int, int]]:
 def added_spans(text: str, base: list[tuple[int, int, str]], classes=CLASSES, allowed=ALLOWED) -> list[tuple[int, int, str]]:
     """Spans of high entropy that neither a base span nor the allow list accounts for."""
     found = []
+    begins = [b for b, _, _ in base]
+    ends = list(accumulate((e for _, e, _ in base), max))
     for run in RUNS.finditer(text):
         candidate = run.group()
         if not any(c.isdigit() for c in candidate) or any(p.fullmatch(candidate) for p in allowed):
             continue
         for low, high in entropy_spans(candidate, classes):
             begin, end = run.start() + low, run.start() + high
-            if any(b < end and begin < e for b, e, _ in base) or any(p.fullmatch(candidate[low:high]) for p in allowed):
+            before = bisect_left(begins, end)  # base spans that begin before this one ends
+            if (before and ends[before - 1] > begin) or any(p.fullmatch(candidate[low:high]) for p in allowed):
                 continue
             found.append((begin, end, "entropy"))
     return found

@@ -30,11 +30,53 @@ def test_base_spans(seed):
     assert secrets.base_spans(text) == base_by_the_rules(text)
 
 
-def test_entropies_are_those_of_each_window():
-    text = "a" * 40 + "".join(random.Random(1).choices("abcdefgh01", k=200))
-    for low, bits in secrets.window_entropies(text, 16):
-        counts = Counter(text[low : low + 16]).values()
-        assert bits == pytest.approx(-sum(c / 16 * math.log2(c / 16) for c in counts), abs=1e-9)
+def entropy_by_the_rules(text, base):
+    """Every window of every class, counted anew."""
+    found = []
+    for run in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        candidate = run.group()
+        if not re.search("[0-9]", candidate) or any(p.fullmatch(candidate) for p in secrets.ALLOWED):
+            continue
+        inside = [False] * len(candidate)
+        for kind in secrets.CLASSES:
+            for low in range(len(candidate) - kind.window + 1):
+                piece = candidate[low : low + kind.window]
+                bits = -sum(c / kind.window * math.log2(c / kind.window) for c in Counter(piece).values())
+                if (
+                    set(piece) <= set(kind.characters)
+                    and bits >= kind.least_bits - 1e-10
+                    and len(re.findall("[0-9]", piece)) >= kind.digits
+                    and len(re.findall("[A-Za-z]", piece)) >= kind.letters
+                ):
+                    for at in range(low, low + kind.window):
+                        inside[at] = True
+        for span in re.finditer("1+", "".join("01"[x] for x in inside)):
+            low, high = run.start() + span.start(), run.start() + span.end()
+            touches = any(b < high and low < e for b, e, _ in base)
+            if not touches and not any(p.fullmatch(text[low:high]) for p in secrets.ALLOWED):
+                found.append((low, high, "entropy"))
+    return found
+
+
+def key_text(seed):
+    rnd = random.Random(seed)
+    some = ["0123456789abcdef", "ab01", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "A-_=+/9z", "abcdefgh"]
+    parts = ["".join(rnd.choices(rnd.choice(some), k=rnd.randrange(45))) for _ in range(rnd.randrange(9))]
+    return "".join(p + rnd.choice(["", "", " ", "é", "-", "=", " token=", ".", "example"]) for p in parts)
+
+
+@pytest.mark.parametrize("seed", range(300))
+def test_all_spans_are_those_of_each_window(seed):
+    text = key_text(seed)
+    base = base_by_the_rules(text)
+    every = sorted(base + entropy_by_the_rules(text, base), key=lambda s: (s[0], secrets.KINDS.index(s[2])))
+    assert secrets.all_spans(text) == (base, every)
+
+
+def test_a_long_run_without_a_blank():
+    text = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=300_000))
+    spans = secrets.all_spans(text)[1]
+    assert sum(e - b for b, e, k in spans if k == "entropy") > 290_000
 
 
 HEX = "3F9A0C71E2B84D56AF13C07E9B2D4486"
