@@ -6,13 +6,16 @@ Tasks count them by language, Spark adds the counts, and the matrix of smoothed
 log probabilities, languages times buckets, is broadcast.  A text is scored as a
 sparse row: its distinct buckets and their counts.
 
-The driver and the broadcast hold one matrix row of ``BUCKETS`` numbers a language;
-more than ``MOST_LANGUAGES`` languages (128 MB) are refused with an error.
+The driver and the broadcast hold ``BUCKETS`` 32-bit numbers a language, of which the
+driver takes the counts one language after the other; more than ``MOST_LANGUAGES``
+languages (128 MB) are refused with an error.
 
 Defined cases: NULL, empty and letterless texts are ``und`` with score 0, likewise
 every text if there is nothing to learn from; rows without a language or an id
 don't train; of equally likely languages the first by name is taken; whole texts
-count, in parts of bounded size.
+count, in parts of bounded size; repeated rows train and are answered as often as
+they occur; an empty table gives no rows; other columns, whatever their names, are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold, ready, slices
+from .common import fold, ready, slices, stored
 
 BUCKETS = 1 << 15
 LENGTHS = (1, 2, 3)
@@ -104,18 +107,19 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     spark = ready(docs.sparkSession)
     rows = docs.select(F.col(lang_col).alias("__lang"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     counted = rows.filter("__lang is not null").mapInArrow(_counts, "lang string, bucket int, n bigint")
-    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).persist()
-    try:
-        names = sorted(r["lang"] for r in summed.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
-        if len(names) > MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
-        found = summed.toPandas()
-    finally:
-        summed.unpersist()
-    matrix = np.full((BUCKETS, len(names)), SMOOTHING)
+    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    pairs = F.collect_list(F.struct("bucket", "n")).alias("pairs")  # at most BUCKETS of them
+    packed = stored(summed.groupBy("lang").agg(pairs).select("lang", F.col("pairs.bucket").alias("at"), F.col("pairs.n").alias("n")), "langs")
+    names = sorted(r["lang"] for r in packed.select("lang").limit(MOST_LANGUAGES + 1).collect())
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    matrix = np.empty((BUCKETS, len(names)), np.float32)
     number = {name: i for i, name in enumerate(names)}
-    matrix[found["bucket"].to_numpy(np.int64), found["lang"].map(number).to_numpy(np.int64)] += found["n"].to_numpy(float)
-    return names, np.log(matrix / matrix.sum(axis=0)) if names else matrix
+    for row in packed.toLocalIterator():
+        counts = np.full(BUCKETS, SMOOTHING)
+        counts[row["at"]] += row["n"]
+        matrix[:, number[row["lang"]]] = np.log(counts / counts.sum())
+    return names, matrix
 
 
 def _predicted(model):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as W
-from .common import partitions, ready, slices, stored
+from .common import free_name, partitions, ready, slices, stored
 
 REGISTERS = 256
 BAND_ROWS = 6
@@ -316,6 +316,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = near_duplicates(docs, id_col, text_col, threshold)
     kept = classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("__kept")).distinct()
     kept = stored(kept, "kept")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    named = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").withColumn("__rank", rank)
-    return named.filter("__rank = 1").drop("__rank").unionByName(docs.filter(F.col(id_col).isNull()))
+    rank = free_name(docs, "__rank")
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    named = docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").withColumn(rank, first)
+    return named.filter(F.col(rank) == 1).drop(rank).unionByName(docs.filter(F.col(id_col).isNull()))

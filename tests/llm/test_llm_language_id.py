@@ -1,6 +1,9 @@
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from gatewire.llm import language_id
@@ -39,6 +42,31 @@ def test_held_out_rows_and_the_lang_column_do_not_reach_predictions(spark, rows)
     assert one == two
 
 
+def buckets(text):
+    return np.concatenate([b for b, _ in language_id.grams([text.lower()])]).tolist()
+
+
+def test_predictions_are_those_of_plain_naive_bayes(spark, rows):
+    schema = "doc_id long, text string, lang string, truth string"
+    counts = defaultdict(Counter)
+    for i, text_, lang, _ in rows:
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(buckets(text_))
+    sizes = {lang: sum(n.values()) + language_id.SMOOTHING * language_id.BUCKETS for lang, n in counts.items()}
+    for r in language_id.identify(spark.createDataFrame(rows, schema)).collect():
+        found = buckets(rows[r["doc_id"]][1])
+        logs = {lang: sum(math.log((n[b] + language_id.SMOOTHING) / sizes[lang]) for b in found) for lang, n in counts.items()}
+        best = max(sorted(logs), key=logs.get)
+        share = 1 / sum(math.exp(x - logs[best]) for x in logs.values())
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(share, rel=1e-3)
+
+
+def test_numbers_that_look_like_letters_are_none(spark):
+    docs = spark.createDataFrame([(i, "aa bb cc", "en") for i in range(9)] + [(20, "½ ² Ⅷ 7", None), (21, "½ª", None)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs).collect()}
+    assert got[20] == "und" and got[21] == "en"
+
+
 def test_odd_rows(odd_docs, odd_rows):
     got = language_id.identify(odd_docs).collect()
     assert sorted(repr(r["doc_id"]) for r in got) == sorted(repr(r[0]) for r in odd_rows)

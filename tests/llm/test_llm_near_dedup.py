@@ -135,3 +135,11 @@ def test_components(spark):
         for x in group:
             root[x] = group
     assert got == {x: min(g) for x, g in root.items() if x != min(g)}
+
+
+def test_columns_named_like_inner_ones_stay(spark):
+    rows = [(1, "a b c d e f", "r", "k"), (1, "a a", "r", "k"), (2, "A b c d e f!", "s", "k"), (None, "z", "t", "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __rank string, __Rank_ string")
+    got = near_dedup.deduplicate(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([rows[1], rows[3]], key=repr)
