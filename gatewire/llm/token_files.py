@@ -91,7 +91,7 @@ _BLOCK_HEAD = struct.Struct("<IBH")
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
     """Each row's values at ``width`` bits, as rows of bytes."""
-    bits = (values[:, :, None] >> np.arange(width, dtype=np.uint32)).astype(np.uint8) & 1
+    bits = np.unpackbits(values.astype("<u4")[:, :, None].view(np.uint8), axis=2, count=width, bitorder="little")
     return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
 
 
@@ -116,9 +116,7 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK) -> bytes:
         rows = ids[low * block : low * block + (high - low) * length].reshape(high - low, length)
         least = rows.min(axis=1)
         rest = rows - least[:, None]
-        needed = np.zeros(rest.shape, np.uint8)
-        some = rest > 0
-        needed[some] = np.floor(np.log2(rest[some])).astype(np.uint8) + 1
+        needed = np.frexp(rest.astype(float))[1].astype(np.uint8)  # number of bits
         widths = np.partition(needed, (length - 1) * PERCENTILE // 100, axis=1)[:, (length - 1) * PERCENTILE // 100]
         for width in np.unique(widths):
             at = np.flatnonzero(widths == width)
@@ -249,19 +247,15 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         words = [text.encode().split() for text in texts]
-        found = [list(map(self.known.get, part)) for part in words]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        if gaps:
-            new = {word for i in gaps for word, ids in zip(words[i], found[i]) if ids is None}
-            if len(self.known) + len(new) > CACHE:
-                self.known = {}
-                new.update(*(words[i] for i in gaps))
-            fresh = list(new)
-            for low in range(0, len(fresh), 20_000):
-                self._learn(fresh[low : low + 20_000])
-            for i in gaps:
-                found[i] = map(self.known.__getitem__, words[i])
-        return [b"".join(ids) for ids in found]
+        new = set().union(*words).difference(self.known)
+        if new and len(self.known) + len(new) > CACHE:
+            self.known = {}
+            new.update(*words)
+        fresh = list(new)
+        for low in range(0, len(fresh), 20_000):
+            self._learn(fresh[low : low + 20_000])
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, part)) for part in words]
 
 
 def _segments(content, end_id: int):
