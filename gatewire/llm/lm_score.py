@@ -1,17 +1,20 @@
-"""Language-model scoring: a log-frequency Bloom filter of quantised n-gram counts, broadcast to the tasks.
+"""Language-model scoring: a log-frequency Bloom filter of quantised n-gram counts, in segments.
 
 Tokens are words (runs of characters other than space and tab to carriage return,
 A to Z in lower case) and one end per text; they are counted by 64 bits of hash.
-One pass counts the words and word pairs of the training texts (the start of a
-text is a word of its own in pairs) and Spark adds the counts up.  Pairs seen
-once are left to the smoothing, at every size of corpus.
+One pass counts the words and word pairs of the training texts, also those seen
+once (the start of a text is a word of its own in pairs).  A task sends the counts
+of many texts to a segment as one row; n-grams go by 48 bits of hash, of which the
+first say the segment.  There are ``SEGMENTS`` segments, or one for ``SEGMENT_TEXT``
+bytes of text if that is more, so a segment is as large in any corpus.
 
-The filter (Talbot and Osborne 2007) stores a count c as 1 + floor(log2(c / cut))
-entries "n-gram, level", ``PROBES`` bits each; a look-up probes level after level
-until a bit is missing.  Its size is the power of two that holds all levels at
-half load, up to ``MOST_BITS`` (32 MB); beyond that the least cut is taken with
-which it does.  It is built in ``SEGMENTS`` parts, one aggregation key each, and
-only this bounded filter comes to the driver, to be broadcast.
+The filter (Talbot and Osborne 2007) stores a count c as 1 + floor(log2(c)) entries
+"n-gram, level", ``PROBES`` bits each; a look-up probes level after level until a
+bit is missing.  Each segment has as many bits as hold its levels at half load.
+
+The filter stays a table of segments: every slice of texts sends its distinct n-grams
+to their segments and gets the levels back.  So it has no size at which counts are
+left out, and neither the driver nor a task holds more than a part of it.
 
 P(w | v) = L * min(1, n(v w) / n(v)) + (1 - L) * (n(w) + 1) / (N + V + 1), with n
 from the filter, L = ``PAIR_SHARE``, N tokens and V distinct tokens in training.
@@ -29,16 +32,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .common import fold, partitions, ready, slices, stored
+from .common import fold, ready, slices, stored
 
 PAIR_SHARE = 0.6
 PROBES = 3
-MOST_BITS = 1 << 28
 SEGMENTS = 256
+SEGMENT_TEXT = 32 << 20
 HEAD = 1 << 19
+#: Bytes of text that are looked up together, bytes that are cut into tokens at a time, and tokens that are counted together.
+SLICE = 8 << 20
+PIECE = 2 << 20
+TOGETHER = 3 << 19
+#: Bits of an n-gram's key.
+KEY_BITS = 48
 
 _U = np.uint64
 END = W.mix(np.array([0x656E64], _U))[0]
@@ -66,113 +76,189 @@ def pairs(token: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return W.mix(before * _U(0x9E3779B97F4A7C15) + token)
 
 
-def _counted(batches):
-    for batch in batches:
-        for part in slices(batch, "__text", 3 << 20, 1 << 16):
-            token, owner = tokens(part.column("__text"))
-            starts = W.mix(np.array([START], _U))
-            for kind, hashes in ((1, token), (2, pairs(token, owner)), (3, np.repeat(starts, part.num_rows))):
-                values, times = np.unique(hashes, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(values), kind, np.int8)), pa.array(values.view(np.int64)), pa.array(times.astype(np.int64))],
-                    names=["kind", "h", "n"],
-                )
+def key(hashes: np.ndarray) -> np.ndarray:
+    """48 bits by which n-grams are counted and found; the first say the segment."""
+    return W.mix(hashes) >> _U(64 - KEY_BITS)
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """48-bit numbers, first bytes of all first: those of sorted keys hardly take room once compressed."""
+    return numbers.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, 5::-1].T.tobytes()
+
+
+def unpacked(content: bytes) -> np.ndarray:
+    columns = np.frombuffer(content, np.uint8).reshape(6, -1)
+    out = np.zeros((columns.shape[1], 8), np.uint8)
+    out[:, 5::-1] = columns.T
+    return out.view("<u8").ravel()
+
+
+def summed(values: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and the sums of their times."""
+    if not len(values):
+        return values, times
+    order = np.argsort(values)
+    values = values[order]
+    first = np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1))
+    return values[first], np.add.reduceat(times[order], first)
+
+
+def _borders(keys: np.ndarray, segments: int) -> np.ndarray:
+    """Where each segment begins in sorted keys, and their end."""
+    width = (1 << KEY_BITS) // segments
+    return np.append(np.searchsorted(keys, np.arange(segments, dtype=_U) * _U(width)), len(keys))
+
+
+def _dealt(words: np.ndarray, word_times: np.ndarray, grams: np.ndarray, times: np.ndarray, segments: int) -> pa.RecordBatch:
+    """Counts by segment; ``words`` are hashes, ``grams`` sorted keys."""
+    keys = key(words)
+    order = np.argsort(keys)
+    words, word_times = words[order], word_times[order]
+    at, word_at = _borders(grams, segments), _borders(keys[order], segments)
+    here = np.flatnonzero((at[1:] > at[:-1]) | (word_at[1:] > word_at[:-1]))
+    cut = lambda values, borders, as_bytes: pa.array([as_bytes(values[borders[i] : borders[i + 1]]) for i in here], pa.binary())
+    plain = lambda values: values.tobytes()
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(here.astype(np.int32)),
+            cut(words, word_at, plain),
+            cut(word_times.astype(np.int64), word_at, plain),
+            cut(grams, at, packed),
+            cut(times.astype(np.int64), at, plain),
+        ],
+        names=["segment", "words", "word_times", "grams", "times"],
+    )
+
+
+DEALT = "segment int, words binary, word_times binary, grams binary, times binary"
+
 
+def _counted(segments: int):
+    def joined(words: list, grams: list, texts: int) -> pa.RecordBatch:
+        found, times = np.unique(np.concatenate(words), return_counts=True)
+        both, both_times = np.unique(np.concatenate(grams), return_counts=True)
+        start = key(np.array([START], _U))
+        return _dealt(found, times, *summed(np.append(both, start), np.append(both_times, texts)), segments)
 
-def counts(texts: DataFrame) -> DataFrame:
-    """(kind, h, n): words (1), pairs seen at least twice (2), text starts (3); stored."""
-    parts = texts.select("__text").mapInArrow(_counted, "kind tinyint, h bigint, n bigint")
-    summed = parts.groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    return stored(summed.filter("kind <> 2 or n > 1"), "counts")
+    def run(batches):
+        words, grams, texts, size = [], [], 0, 0
+        for batch in batches:
+            for part in slices(batch, "__text", PIECE, 1 << 16):
+                token, owner = tokens(part.column("__text"))
+                words.append(token)
+                grams.append(key(pairs(token, owner)))
+                texts, size = texts + part.num_rows, size + len(token)
+                if size >= TOGETHER:
+                    yield joined(words, grams, texts)
+                    words, grams, texts, size = [], [], 0, 0
+        if words:
+            yield joined(words, grams, texts)
+
+    return run
 
 
 class Filter:
-    """The finished filter: count estimates for n-gram hashes."""
+    """Count estimates for n-grams, from the bits of all segments or of one of them."""
 
-    def __init__(self, bits: np.ndarray, cut: int) -> None:
-        self.bits = bits
+    def __init__(self, parts: list[bytes], cut: int = 1, only: int | None = None) -> None:
+        self.bits = np.frombuffer(b"".join(parts), np.uint8)
         self.cut = cut
-        self.segment_bits = len(bits) * 8 // SEGMENTS
+        self.only = only
+        self.segments = len(parts)
+        ends = np.cumsum([len(part) * 8 for part in parts])
+        self.begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        self.mask = np.array([len(part) * 8 - 1 for part in parts], _U)
 
     @staticmethod
-    def slots(hashes: np.ndarray, level: int, probe: int, segment_bits: int) -> np.ndarray:
+    def slots(keys: np.ndarray, level: int, probe: int, mask: np.ndarray) -> np.ndarray:
         """Bit within the n-gram's segment."""
         salt = _U(((level * PROBES + probe + 1) * 0xD6E8FEB86659FD93) % 2**64)
-        return (W.mix(hashes ^ salt) & _U(segment_bits - 1)).astype(np.int64)
-
-    @staticmethod
-    def segment(hashes: np.ndarray) -> np.ndarray:
-        return (W.mix(hashes) >> _U(56)).astype(np.int64)
-
-    def estimate(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes))
-        if not len(self.bits):
-            return out
-        alive = np.arange(len(hashes))
-        base = self.segment(hashes) * self.segment_bits
-        level = 0
-        while len(alive):
+        return (W.mix(keys ^ salt) & mask).astype(np.int64)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Number of levels that the filter holds of each key."""
+        out = np.zeros(len(keys), np.uint8)
+        shift = _U(KEY_BITS - (self.segments.bit_length() - 1))
+        segment = np.zeros(len(keys), np.int64) if self.only is not None else (keys >> shift).astype(np.int64)
+        alive = np.arange(len(keys))
+        for level in range(64):
             for probe in range(PROBES):
-                at = base[alive] + self.slots(hashes[alive], level, probe, self.segment_bits)
+                at = self.begin[segment[alive]] + self.slots(keys[alive], level, probe, self.mask[segment[alive]])
                 alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            # middle of the level's counts
-            out[alive] = self.cut * (2.0**level) * 1.5 - 0.5 if level or self.cut > 1 else 1.0
-            level += 1
-            if level > 60:
+            if not len(alive):
                 break
+            out[alive] += 1
         return out
 
+    @staticmethod
+    def counts(levels: np.ndarray, cut: int = 1) -> np.ndarray:
+        """Middle of the counts of each level; 0 without a level."""
+        middle = np.array([0.0, *(cut * 2.0**level * 1.5 - 0.5 if level or cut > 1 else 1.0 for level in range(64))])
+        return middle[levels]
 
-def _filled(segment_bits: int, cut: int):
-    def run(batches):
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            hashes = batch.column("h").to_numpy().view(_U)
-            levels = np.floor(np.log2(batch.column("n").to_numpy() / cut)).astype(np.int64)
-            owner = Filter.segment(hashes)
-            for segment in np.unique(owner):
-                bits = parts.setdefault(int(segment), np.zeros(segment_bits // 8, np.uint8))
-                here = owner == segment
-                own, top = hashes[here], levels[here]
-                for level in range(int(top.max()) + 1):
-                    chosen = own[top >= level]
-                    for probe in range(PROBES):
-                        at = Filter.slots(chosen, level, probe, segment_bits)
-                        np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(parts), pa.int32()), pa.array([b.tobytes() for b in parts.values()], pa.binary())],
-            names=["segment", "bits"],
-        )
+    def estimate(self, hashes: np.ndarray) -> np.ndarray:
+        return self.counts(self.levels(key(hashes)), self.cut)
 
-    return run
 
+#: Bits of a segment without n-grams.
+EMPTY = bytes(8)
 
-def _segments(batches):
+
+def _filled(keys: np.ndarray, times: np.ndarray, cut: int, most_bits: int | None) -> bytes:
+    """Bits of one segment, at most half of them set unless ``most_bits`` stands against it."""
+    levels = np.floor(np.log2(times / cut)).astype(np.int64)
+    need = float((levels + 1).sum()) * PROBES / 0.69
+    size = max(1 << max(6, int(np.ceil(np.log2(max(need, 1))))), 64)
+    size = min(size, most_bits or size)
+    bits = np.zeros(size // 8, np.uint8)
+    for level in range(int(levels.max(initial=-1)) + 1):
+        chosen = keys[levels >= level]
+        for probe in range(PROBES):
+            at = Filter.slots(chosen, level, probe, _U(size - 1))
+            np.bitwise_or.at(bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+    return bits.tobytes()
+
+
+def built(dealt: DataFrame, cut: int = 1, most_bits: int | None = None) -> DataFrame:
+    """(segment, bits, h, n): the filter's segments, and hashes and counts of the words that belong there."""
+
+    def run(group):
+        column = lambda name, read: np.concatenate([read(c.as_py()) for c in group.column(name)])
+        whole = lambda content: np.frombuffer(content, np.int64)
+        words, n = summed(column("words", whole).view(_U), column("word_times", whole))
+        grams, times = column("grams", unpacked), column("times", whole)
+        grams, times = summed(np.concatenate((grams, key(words))), np.concatenate((times, n)))
+        listed = lambda values: pa.array([values.view(np.int64)], pa.list_(pa.int64()))
+        bits = pa.array([_filled(grams, times, cut, most_bits)], pa.binary())
+        return pa.Table.from_arrays([group.column("segment").combine_chunks()[:1], bits, listed(words), listed(n)], names=["segment", "bits", "h", "n"])
+
+    return dealt.groupBy("segment").applyInArrow(run, "segment int, bits binary, h array<bigint>, n array<bigint>")
+
+
+def _rows_dealt(batches):
     for batch in batches:
-        owner = Filter.segment(batch.column("h").to_numpy().view(_U))
-        yield pa.RecordBatch.from_arrays([pa.array(owner.astype(np.int32)), batch.column("h"), batch.column("n")], names=["segment", "h", "n"])
+        grams, times = summed(key(batch.column("h").to_numpy().view(_U)), batch.column("n").to_numpy())
+        yield _dealt(np.zeros(0, _U), np.zeros(0, np.int64), grams, times, SEGMENTS)
 
 
-def build_filter(counted: DataFrame, most_bits: int = MOST_BITS) -> Filter:
-    """The filter over a table of counts; the driver gets at most ``most_bits`` bits."""
-    octaves = counted.groupBy(F.floor(F.log2("n")).alias("octave")).count().collect()  # at most 63 rows
-    by_octave = {int(r["octave"]): r["count"] for r in octaves}
-    if not by_octave:
-        return Filter(np.zeros(0, np.uint8), 1)
-    at_cut = lambda low: sum(n * (o - low + 1) for o, n in by_octave.items() if o >= low) * PROBES / 0.69
+def build_filter(counted: DataFrame, most_bits: int | None = None) -> Filter:
+    """The filter over a table (h, n) of counts, brought to the driver; for small tables.
+
+    Only a caller who sets ``most_bits`` gets one without the least counts, from the least ``cut`` that
+    fits.  ``scores`` looks up the table of segments instead, which leaves out nothing.
+    """
+    ready(counted.sparkSession)
     low = 0
-    while at_cut(low) > most_bits:
-        low += 1
-    size = 1 << max(16, int(np.ceil(np.log2(max(at_cut(low), 1)))))
-    size = min(size, most_bits)
-    kept = counted.filter(F.col("n") >= 2**low).select("h", "n").mapInArrow(_segments, "segment int, h bigint, n bigint")
-    kept = kept.repartition(min(partitions(counted.sparkSession), SEGMENTS), "segment").select("h", "n")
-    built = kept.mapInArrow(_filled(size // SEGMENTS, 2**low), "segment int, bits binary").toArrow()
-    bits = np.zeros(size // 8, np.uint8)
-    width = size // SEGMENTS // 8
-    for segment, content in zip(built["segment"].to_pylist(), built["bits"].to_pylist()):
-        bits[segment * width : (segment + 1) * width] |= np.frombuffer(content, np.uint8)
-    return Filter(bits, 2**low)
+    if most_bits:
+        octaves = counted.groupBy(F.floor(F.log2("n")).alias("octave")).count().collect()  # at most 63 rows
+        by_octave = {int(r["octave"]): r["count"] for r in octaves}
+        while sum(n * (o - low + 1) for o, n in by_octave.items() if o >= low) * PROBES / 0.69 > most_bits:
+            low += 1
+    dealt = counted.filter(F.col("n") >= 2**low).select("h", "n").mapInArrow(_rows_dealt, DEALT)
+    parts = dict.fromkeys(range(SEGMENTS), EMPTY)
+    found = built(dealt, 2**low, most_bits and most_bits // SEGMENTS).select("segment", "bits").toArrow()
+    parts |= zip(found["segment"].to_pylist(), found["bits"].to_pylist())
+    return Filter(list(parts.values()), 2**low)
 
 
 def head_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -192,43 +278,109 @@ def head_counts(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], times[order]
 
 
-def _scored(model, total: int, distinct: int):
-    unit = 1.0 / (total + distinct + 1)
+class Slice:
+    """Texts worked on together: the distinct words, which of them each token is, and the distinct keys to look up."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
+        """``words``: distinct hashes; ``at``: number of each token's word; ``n``: tokens of each text."""
+        self.words, self.at, self.n = words, at, n
+        self.owner = np.repeat(np.arange(len(n)), n)
+        self.begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+        self.pairs, self.pair_at = np.unique(key(pairs(words[at], self.owner)), return_inverse=True)
+        self.keys = np.unique(np.concatenate((key(words), self.pairs, key(np.array([START], _U)))))
+
+    @staticmethod
+    def of(part: pa.RecordBatch) -> Slice:
+        found, n = [], []
+        for piece in slices(part, "__text", PIECE, 1 << 16):
+            token, owner = tokens(piece.column("__text"))
+            found.append(token)
+            n.append(W.counts_by_text(owner, piece.num_rows))
+        words, at, times = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        order = np.argsort(-times)  # small numbers for frequent words
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return Slice(words[order], rank[at], np.concatenate(n))
+
+    def packed(self) -> bytes:
+        """The words' numbers, first bytes of all first, compressed."""
+        return pa.Codec("zstd").compress(self.at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), asbytes=True)
+
+    @staticmethod
+    def unpacked(content: bytes, words: np.ndarray, n: np.ndarray) -> Slice:
+        total = int(n.sum())
+        columns = np.frombuffer(pa.Codec("zstd").decompress(content, decompressed_size=4 * total), np.uint8).reshape(4, total)
+        return Slice(words, np.ascontiguousarray(columns.T).view("<u4").ravel().astype(np.int64), n)
+
+    def scores(self, levels: np.ndarray, unit: float) -> np.ndarray:
+        """log10 probability of each text, from the levels of ``keys``."""
+        found = Filter.counts(levels)
+        of = lambda keys: found[np.searchsorted(self.keys, keys)]
+        single, both = of(key(self.words))[self.at], of(self.pairs)[self.pair_at]
+        before = np.empty_like(single)
+        before[1:] = single[:-1]
+        before[self.begin] = of(key(np.array([START], _U)))[0]
+        share = np.minimum(1.0, both / np.maximum(before, 1.0))
+        return np.add.reduceat(np.log10(PAIR_SHARE * share + (1 - PAIR_SHARE) * (single + 1) * unit), self.begin)
+
+    def known(self, hashes: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+        """Of each text: tokens among ``hashes``, the sum of log10(count + 1) of these, and its other tokens."""
+        place = np.minimum(np.searchsorted(hashes, self.words), max(len(hashes) - 1, 0))
+        known = hashes[place] == self.words if len(hashes) else np.zeros(len(self.words), bool)
+        logs = np.log10(np.where(known, times[place] if len(hashes) else 0, 0) + 1.0)
+        frequent = known[self.at]
+        cuts = np.concatenate(([0], np.cumsum(W.counts_by_text(self.owner[~frequent], len(self.n)))))
+        rare = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(self.words[self.at[~frequent]].view(np.int64)))
+        return W.counts_by_text(self.owner[frequent], len(self.n)), np.add.reduceat(logs[self.at], self.begin), rare
+
+
+ASKED = "segment int, slice bigint, keys binary, texts binary, words binary, at binary"
+_ASKED = pa.schema([("segment", pa.int32()), ("slice", pa.int64()), *((name, pa.binary()) for name in ("keys", "texts", "words", "at"))])
+
+
+def _asked(segments: int):
+    """Of each slice a row of keys for every segment, and one with all else, which goes along with any of them."""
 
     def run(batches):
-        bits, cut, hashes, times = model.value
-        counted = Filter(bits, cut)
-        for batch in batches:
-            for part in slices(batch, "__text", 2 << 20):
-                texts = part.num_rows
-                token, owner = tokens(part.column("__text"))
-                n = W.counts_by_text(owner, texts)
-                begin = np.concatenate(([0], np.cumsum(n)[:-1]))
-                at = np.minimum(np.searchsorted(hashes, token), max(len(hashes) - 1, 0))
-                frequent = hashes[at] == token if len(hashes) else np.zeros(len(token), bool)
-                exact = np.where(frequent, times[at] if len(hashes) else 0, 0)
-                single = counted.estimate(token)
-                both = counted.estimate(pairs(token, owner))
-                before = np.empty_like(single)
-                before[1:] = single[:-1]
-                before[begin] = counted.estimate(W.mix(np.array([START], _U)))[0]
-                share = np.minimum(1.0, both / np.maximum(before, 1.0))
-                logs = np.log10(PAIR_SHARE * share + (1 - PAIR_SHARE) * (single + 1) * unit)
-                rare_owner, rare = owner[~frequent], token[~frequent].view(np.int64)
-                cuts = np.concatenate(([0], np.cumsum(W.counts_by_text(rare_owner, texts))))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("__row"),
-                        part.column("__id"),
-                        part.column("__held_out"),
-                        pa.array(n),
-                        pa.array(W.counts_by_text(owner[frequent], texts)),
-                        pa.array(np.add.reduceat(np.log10(exact + 1.0), begin)),
-                        pa.array(np.add.reduceat(logs, begin)),
-                        pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(rare)),
-                    ],
-                    names=["__row", "__id", "held_out", "n_tokens", "__known", "__sum", "score", "__rare"],
-                )
+        parts = (part for batch in batches for part in slices(batch, "__text", SLICE, 1 << 16))
+        for number, part in enumerate(parts):
+            name = (TaskContext.get().partitionId() << 32) + number
+            texts = Slice.of(part)
+            borders = _borders(texts.keys, segments)
+            here = np.flatnonzero(borders[1:] > borders[:-1])
+            own = part.select(["__row", "__id", "__held_out"]).append_column("n", pa.array(texts.n))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, own.schema) as stream:
+                stream.write_batch(own)
+            rest = {"texts": sink.getvalue().to_pybytes(), "words": texts.words.tobytes(), "at": texts.packed()}
+            asked = [{"segment": int(i), "slice": name, "keys": packed(texts.keys[borders[i] : borders[i + 1]])} for i in here]
+            asked.append({"segment": int(W.mix(np.array([name], _U))[0]) % segments, "slice": name, **rest})
+            yield pa.RecordBatch.from_pylist(asked, schema=_ASKED)
+
+    return run
+
+
+def _answered(asked, model):
+    """The keys of one segment replaced by their levels."""
+    part = Filter([model.column("bits")[0].as_py() if model.num_rows else EMPTY], only=0)
+    levels = [c.as_py() and part.levels(unpacked(c.as_py())).tobytes() for c in asked.column("keys")]
+    return asked.set_column(asked.column_names.index("keys"), "keys", pa.array(levels, pa.binary()))
+
+
+def _scored(head, unit: float):
+    """The texts of one slice, scored with the levels that came back."""
+
+    def run(group):
+        own = group.filter(group.column("texts").is_valid()).to_pylist()[0]
+        levels = group.filter(group.column("keys").is_valid()).select(["segment", "keys"]).sort_by("segment")
+        rows = pa.ipc.open_stream(own["texts"]).read_all()
+        texts = Slice.unpacked(own["at"], np.frombuffer(own["words"], _U), rows["n"].to_numpy())
+        score = texts.scores(np.frombuffer(b"".join(levels.column("keys").to_pylist()), np.uint8), unit)
+        known, logs, rare = texts.known(*head.value)
+        rows = rows.rename_columns(["__row", "__id", "held_out", "n_tokens"])
+        for name, column in (("__known", known), ("__sum", logs), ("__rare", rare), ("score", score)):
+            rows = rows.append_column(name, column if name == "__rare" else pa.array(column))
+        return rows
 
     return run
 
@@ -238,24 +390,27 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
     spark = ready(docs.sparkSession)
     held_out = fold(F.col(id_col), modulus) == holdout
     rows = docs.select(F.col(id_col).alias("__id"), held_out.alias("__held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    counted = counts(rows.filter(~F.col("__held_out")))
-    words = counted.filter("kind = 1")
+    text_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)).alias("n")).first()["n"]
+    segments = max(SEGMENTS, 1 << max(-(-text_bytes // SEGMENT_TEXT) - 1, 0).bit_length())
+    learnt = rows.filter(~F.col("__held_out")).select("__text").mapInArrow(_counted(segments), DEALT)
+    model = stored(built(learnt), "model")
+    words = model.select(F.inline(F.arrays_zip("h", "n")))
     size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    counted_all = build_filter(counted.select("h", "n"))
-    hashes, times = head_counts(words)
-    model = spark.sparkContext.broadcast((counted_all.bits, counted_all.cut, hashes, times))
+    unit = 1.0 / (size["total"] + size["distinct"] + 1)
+    head = spark.sparkContext.broadcast(head_counts(words))
 
     kind = rows.schema["__id"].dataType.simpleString()
     schema = (
-        f"__row bigint, __id {kind}, held_out boolean, n_tokens bigint, __known bigint, __sum double, score double, __rare array<bigint>"
+        f"__row bigint, __id {kind}, held_out boolean, n_tokens bigint, __known bigint, __sum double, __rare array<bigint>, score double"
     )
     numbered = rows.withColumn("__row", F.monotonically_increasing_id()).select("__row", "__id", "__held_out", "__text")
-    scored = stored(numbered.mapInArrow(_scored(model, size["total"], size["distinct"]), schema), "scored")
+    asked = numbered.mapInArrow(_asked(segments), ASKED).groupBy("segment")
+    answered = asked.cogroup(model.select("segment", "bits").groupBy("segment")).applyInArrow(_answered, ASKED)
+    scored = stored(answered.groupBy("slice").applyInArrow(_scored(head, unit), schema), "scored")
     rare = scored.select("__row", F.explode("__rare").alias("h")).groupBy("__row", "h").agg(F.count("*").alias("times"))
     rare = rare.join(words.select("h", "n"), "h").groupBy("__row").agg(
         F.sum("times").alias("__more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("__added")
     )
-    unit = float(np.log10(size["total"] + size["distinct"] + 1))
     return (
         scored.drop("__rare")
         .join(rare, "__row", "left")
@@ -265,7 +420,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modu
             "n_tokens",
             (F.col("__known") + F.coalesce("__more", F.lit(0))).alias("n_known"),
             F.lit(size["total"]).cast("bigint").alias("train_tokens"),
-            (F.col("__sum") + F.coalesce("__added", F.lit(0.0)) - F.col("n_tokens") * unit).alias("base_score"),
+            (F.col("__sum") + F.coalesce("__added", F.lit(0.0)) + F.col("n_tokens") * float(np.log10(unit))).alias("base_score"),
             "score",
         )
     )
