@@ -335,11 +335,10 @@ class Slice:
 
 
 ASKED = "segment int, slice bigint, keys binary, texts binary, words binary, at binary"
-_ASKED = pa.schema([("segment", pa.int32()), ("slice", pa.int64()), *((name, pa.binary()) for name in ("keys", "texts", "words", "at"))])
 
 
 def _asked(segments: int):
-    """Of each slice a row of keys for every segment, and one with all else, which goes along with any of them."""
+    """Of each slice a row for every segment: the keys there, and an equal piece of all else, which goes along."""
 
     def run(batches):
         parts = (part for batch in batches for part in slices(batch, "__text", SLICE, 1 << 16))
@@ -352,10 +351,14 @@ def _asked(segments: int):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, own.schema) as stream:
                 stream.write_batch(own)
-            rest = {"texts": sink.getvalue().to_pybytes(), "words": texts.words.tobytes(), "at": texts.packed()}
-            asked = [{"segment": int(i), "slice": name, "keys": packed(texts.keys[borders[i] : borders[i + 1]])} for i in here]
-            asked.append({"segment": int(W.mix(np.array([name], _U))[0]) % segments, "slice": name, **rest})
-            yield pa.RecordBatch.from_pylist(asked, schema=_ASKED)
+            rest = sink.getvalue().to_pybytes(), texts.words.tobytes(), texts.packed()
+            ends = [np.arange(len(here) + 1) * len(content) // len(here) for content in rest]
+            columns = [[packed(texts.keys[borders[i] : borders[i + 1]]) for i in here]]
+            columns += [[content[low:high] for low, high in zip(cut, cut[1:])] for content, cut in zip(rest, ends)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(here.astype(np.int32)), pa.array(np.full(len(here), name)), *(pa.array(column, pa.binary()) for column in columns)],
+                names=["segment", "slice", "keys", "texts", "words", "at"],
+            )
 
     return run
 
@@ -363,7 +366,10 @@ def _asked(segments: int):
 def _answered(asked, model):
     """The keys of one segment replaced by their levels."""
     part = Filter([model.column("bits")[0].as_py() if model.num_rows else EMPTY], only=0)
-    levels = [c.as_py() and part.levels(unpacked(c.as_py())).tobytes() for c in asked.column("keys")]
+    keys = [unpacked(c.as_py()) for c in asked.column("keys")]
+    found = part.levels(np.concatenate([np.zeros(0, _U), *keys]))
+    ends = np.cumsum([0, *(len(k) for k in keys)])
+    levels = [found[low:high].tobytes() for low, high in zip(ends, ends[1:])]
     return asked.set_column(asked.column_names.index("keys"), "keys", pa.array(levels, pa.binary()))
 
 
@@ -371,11 +377,11 @@ def _scored(head, unit: float):
     """The texts of one slice, scored with the levels that came back."""
 
     def run(group):
-        own = group.filter(group.column("texts").is_valid()).to_pylist()[0]
-        levels = group.filter(group.column("keys").is_valid()).select(["segment", "keys"]).sort_by("segment")
-        rows = pa.ipc.open_stream(own["texts"]).read_all()
-        texts = Slice.unpacked(own["at"], np.frombuffer(own["words"], _U), rows["n"].to_numpy())
-        score = texts.scores(np.frombuffer(b"".join(levels.column("keys").to_pylist()), np.uint8), unit)
+        group = group.sort_by("segment")
+        levels, own, words, at = (b"".join(group.column(name).to_pylist()) for name in ("keys", "texts", "words", "at"))
+        rows = pa.ipc.open_stream(own).read_all()
+        texts = Slice.unpacked(at, np.frombuffer(words, _U), rows["n"].to_numpy())
+        score = texts.scores(np.frombuffer(levels, np.uint8), unit)
         known, logs, rare = texts.known(*head.value)
         rows = rows.rename_columns(["__row", "__id", "held_out", "n_tokens"])
         for name, column in (("__known", known), ("__sum", logs), ("__rare", rare), ("score", score)):
