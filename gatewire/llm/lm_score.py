@@ -160,10 +160,9 @@ def _counted(segments: int):
 class Filter:
     """Count estimates for n-grams, from the bits of all segments or of one of them."""
 
-    def __init__(self, parts: list[bytes], cut: int = 1, only: int | None = None) -> None:
+    def __init__(self, parts: list[bytes], cut: int = 1) -> None:
         self.bits = np.frombuffer(b"".join(parts), np.uint8)
         self.cut = cut
-        self.only = only
         self.segments = len(parts)
         ends = np.cumsum([len(part) * 8 for part in parts])
         self.begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
@@ -179,7 +178,7 @@ class Filter:
         """Number of levels that the filter holds of each key."""
         out = np.zeros(len(keys), np.uint8)
         shift = _U(KEY_BITS - (self.segments.bit_length() - 1))
-        segment = np.zeros(len(keys), np.int64) if self.only is not None else (keys >> shift).astype(np.int64)
+        segment = (keys >> shift).astype(np.int64)  # 0 for the bits of one segment
         alive = np.arange(len(keys))
         for level in range(64):
             for probe in range(PROBES):
@@ -365,7 +364,7 @@ def _asked(segments: int):
 
 def _answered(asked, model):
     """The keys of one segment replaced by their levels."""
-    part = Filter([model.column("bits")[0].as_py() if model.num_rows else EMPTY], only=0)
+    part = Filter([model.column("bits")[0].as_py() if model.num_rows else EMPTY])
     keys = [unpacked(c.as_py()) for c in asked.column("keys")]
     found = part.levels(np.concatenate([np.zeros(0, _U), *keys]))
     ends = np.cumsum([0, *(len(k) for k in keys)])
