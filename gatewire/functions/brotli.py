@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BinaryType, StructType
 
 
 def brotli_decompress(payload: Column) -> Column:
@@ -30,18 +29,19 @@ def brotli_decompress(payload: Column) -> Column:
     return decompress(payload)
 
 
-def inflate(messages: DataFrame, payload: str, column: str, most_bytes: int = 32 << 20) -> DataFrame:
-    """Add ``column``, the inflated ``payload``, as ``brotli_decompress`` gives it.
+def inflate(messages: DataFrame, payload: str, packed: str, most_bytes: int = 32 << 20) -> DataFrame:
+    """Replace ``payload`` where the boolean ``packed`` holds by what ``brotli_decompress`` gives for it.
 
     A few bytes may inflate to megabytes, so a batch of payloads goes back in as
     many parts as it takes to keep each near ``most_bytes``; no payload is refused
     for its size.  Nested to travel by value, too.
     """
-    schema = StructType([*messages.schema.fields]).add(column, BinaryType())
-    names = schema.names
+    schema = messages.schema
+    names, place, mark = schema.names, schema.names.index(payload), schema.names.index(packed)
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         def one(value):
             if not value.is_valid or not len(value.as_buffer()):
@@ -52,13 +52,18 @@ def inflate(messages: DataFrame, payload: str, column: str, most_bytes: int = 32
                 return None
 
         for batch in batches:
+            values, marks = batch.column(place), batch.column(mark).to_pylist()
             start, made, size = 0, [], 0
-            for number, value in enumerate(batch.column(batch.schema.get_field_index(payload)), 1):
-                made.append(one(value))
-                size += len(made[-1] or b"")
+            for number, is_packed in enumerate(marks, 1):
+                if is_packed:
+                    made.append(one(values[number - 1]))
+                    size += len(made[-1] or b"")
                 if size >= most_bytes or number == batch.num_rows:
-                    part = batch.slice(start, len(made))
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], names=names)
+                    columns = batch.slice(start, number - start).columns
+                    if made:
+                        chosen = pa.array(marks[start:number], pa.bool_())
+                        columns[place] = pc.replace_with_mask(columns[place], chosen, pa.array(made, columns[place].type))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
                     start, made, size = number, [], 0
 
     return messages.mapInArrow(run, schema)

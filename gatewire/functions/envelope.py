@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, functions as F
 
 PLAIN = "json"
 VERSIONED = "versioned"
 BASE64 = "base64"
 
-BLANK_PATTERN = r"[ \t\r\n]"
+BLANKS = " \t\r\n"
+BLANK_PATTERN = rf"[{BLANKS}]"
 BYTE_ORDER_MARK = "﻿"
 
 
@@ -33,10 +37,11 @@ def strict_base64(message: Column) -> Column:
     compact = F.regexp_replace(text, BLANK_PATTERN, "")
 
     def groups_of_four(candidate: Column) -> Column:
-        return F.when(F.length(candidate) % 4 == 0, F.try_to_binary(candidate, F.lit("base64")))
+        return F.when(F.octet_length(candidate) % 4 == 0, F.try_to_binary(candidate, F.lit("base64")))
 
     # Looking for a blank is cheap, counting or removing them isn't.
-    return F.when(text.rlike(BLANK_PATTERN), groups_of_four(compact)).otherwise(groups_of_four(text))
+    has_blank = reduce(or_, [F.contains(text, F.lit(blank)) for blank in BLANKS])
+    return F.when(has_blank, groups_of_four(compact)).otherwise(groups_of_four(text))
 
 
 def document_text(document: Column) -> Column:

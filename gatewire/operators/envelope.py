@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from gatewire.functions import envelope as env
 from gatewire.functions.brotli import inflate
-from gatewire.functions.problems import problem
+from gatewire.functions.problems import NO_PROBLEMS, add_problems, problem
 from gatewire.vocabulary import BROTLI_MESSAGE_VERSION, SHORTEST_MESSAGE_BYTES
 
 
@@ -41,19 +41,14 @@ def unwrap(messages: DataFrame, body: str = "body") -> DataFrame:
 def decode(messages: DataFrame, body: str = "body") -> DataFrame:
     """Add ``json`` (NULL when the envelope is broken) and ``problems`` to every message worth reading.
 
-    One pass over the input: Python sees the compressed payloads only, all
-    other messages reach it as NULLs, which cost next to nothing in an Arrow
-    batch, whereas splitting by class would read and classify the source twice.
+    One pass over the input: rows go through Python, which inflates the compressed payloads, whereas
+    splitting by class would read and classify the source twice.  What comes along is the
+    message and what its base64 held, each once; a bare document is the message itself.
     """
     version = F.col("version")
     content = F.col("content")
     is_compressed = version == BROTLI_MESSAGE_VERSION
-    opened = (
-        unwrap(drop_short(messages, body), body)
-        .withColumn("_payload", F.when(is_compressed, content))
-        .withColumn("_plain", F.when(version.isNull(), content))
-    )
-    opened = inflate(opened, "_payload", "_inflated")
+    is_bare = F.col("message_class") == env.PLAIN
     found = F.concat_ws(
         ",",
         problem("bad_base64", {body: content.isNull()}),
@@ -66,15 +61,19 @@ def decode(messages: DataFrame, body: str = "body") -> DataFrame:
             },
         ),
         problem("unsupported_version", {body: version != BROTLI_MESSAGE_VERSION}),
-        problem("bad_brotli", {body: is_compressed & F.col("_inflated").isNull()}),
     )
+    unwrapped = unwrap(drop_short(messages, body), body).select(
+        *messages.columns,
+        found.alias("problems"),
+        F.coalesce(is_compressed, F.lit(False)).alias("_packed"),
+        is_bare.alias("_bare"),
+        F.when(is_compressed | (version.isNull() & ~is_bare), content).alias("_content"),
+    )
+    opened = inflate(unwrapped, "_content", "_packed")
+    not_inflated = F.col("_packed") & F.col("_content").isNull()
+    document = F.when(F.col("_bare"), F.col(body)).otherwise(F.col("_content"))
     return (
-        opened.withColumn("problems", found)
-        .withColumn(
-            "json",
-            F.when(
-                F.col("problems") == "", env.document_text(F.coalesce(F.col("_inflated"), F.col("_plain")))
-            ),
-        )
-        .drop("message_class", "version", "content", "_payload", "_plain", "_inflated")
+        opened.withColumn("problems", add_problems(F.col("problems"), problem("bad_brotli", {body: not_inflated})))
+        .withColumn("json", F.when(F.col("problems") == NO_PROBLEMS, env.document_text(document)))
+        .drop("_packed", "_bare", "_content")
     )

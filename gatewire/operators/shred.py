@@ -18,15 +18,8 @@ CONTEXT = "contextrequestjson"
 def typed_attributes(context: str = CONTEXT) -> Column:
     """The attributes of a request, as far as flattening reads them, exactly as it would read them."""
 
-    def value(v: Column) -> Column:
-        return F.struct(v["Value"].alias("Value"), v["DataType"].alias("DataType"))
-
-    def attribute(a: Column) -> Column:
-        kept = [a[name].alias(name) for name in ("AttributeId", "Issuer", "IncludeInResult")]
-        return F.struct(*kept, F.transform(a["AttributeValues"], value).alias("AttributeValues"))
-
     def category(c: Column) -> Column:
-        return F.struct(c["Category"].alias("Category"), F.transform(c["Attributes"], attribute).alias("Attributes"))
+        return F.struct(c["Category"].alias("Category"), c["Attributes"].alias("Attributes"))
 
     return F.transform(request_attributes(context), category)
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gatewire.functions.brotli import inflate
 from gatewire.functions.envelope import strict_base64
 from gatewire.functions.problems import errors_map
 from gatewire.operators.envelope import decode
@@ -100,3 +101,18 @@ def test_payloads_that_inflate_a_lot(spark):
     messages = spark.range(0, 9000, 1, 1).select(F.col("id").alias("msg_id"), F.lit(body).alias("body"))
     row = decode(messages).agg(F.count("*").alias("n"), F.min(F.length("json")).alias("least"), F.max("problems").alias("p")).first()
     assert (row.n, row.least, row.p) == (9000, 300_008, "")
+
+
+def test_a_message_goes_through_python_once(spark):
+    """Not again as what it holds, unless that was base64 or is to be inflated."""
+    plan = decode(spark.createDataFrame([], "msg_id long, body binary"))._jdf.queryExecution().optimizedPlan().toString()
+    [line] = [line for line in plan.splitlines() if "MapInArrow" in line]
+    given = line.split("run(", 1)[1].split(")", 1)[0]
+    assert [name.split("#")[0].strip() for name in given.split(",")] == ["msg_id", "body", "problems", "_packed", "_bare", "_content"]
+
+
+def test_inflated_and_other_rows_stay_in_order_in_small_parts(spark):
+    rows = [(i, [None, b"plain", brotli(b"x" * i), b"no brotli"][i % 4], i % 4 >= 2) for i in range(200)]
+    frame = spark.createDataFrame(rows, "i int, content binary, packed boolean").coalesce(1)
+    found = [(row.i, row.content and bytes(row.content)) for row in inflate(frame, "content", "packed", most_bytes=100).collect()]
+    assert found == [(i, [None, b"plain", b"x" * i, None][i % 4]) for i in range(200)]

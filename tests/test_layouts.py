@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyarrow.parquet import ParquetFile
 from pyspark.sql import functions as F
 
 import gatewire
@@ -200,3 +201,10 @@ def test_many_tasks_send_and_several_triggers_read(spark, dimensions, tmp_path):
         source.run(segments_per_trigger=3)
     assert source.stored() == [f"{i:03d}" for i in range(100)]
     assert not [p for p in (tmp_path / "queue").iterdir() if p.name.startswith(".")]
+
+
+def test_requests_are_not_cut_into_columns_of_their_own_as_well(spark, authz_root):
+    [path] = batches.paths(spark, authz_root, "accepted", "new")
+    files = [ParquetFile(found.removeprefix("file:")) for found in folders.matching(spark, f"{path}/*.parquet")]
+    held = {column.path for file in files for column in file.schema if column.path.startswith("contextrequestjson.")}
+    assert held == {"contextrequestjson.metadata", "contextrequestjson.value"}

@@ -234,9 +234,15 @@ def authz_documents_sql(dialect: dict[str, str]) -> str:
     """
 
 
-def _run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run feed SQL straight on the Parquet files, without leaving views behind."""
-    return spark.sql(sql.replace("FROM events", f"FROM parquet.`{sf_dir}/events.parquet`"))
+def _run(spark: SparkSession, sf_dir: str, sql: str, tasks: int | None = None) -> DataFrame:
+    """Run feed SQL straight on the Parquet files, without leaving views behind.
+
+    With ``tasks`` the events are dealt to as many before anything is made of them: messages are many times as wide.
+    """
+    source = f"parquet.`{sf_dir}/events.parquet`"
+    if tasks:
+        source = f"(SELECT /*+ REPARTITION({tasks}) */ * FROM {source})"
+    return spark.sql(sql.replace("FROM events", f"FROM {source}"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -249,26 +255,26 @@ def authn_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("created", F.col("created").cast("timestamp"))
 
 
-def authn_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, authn_messages_sql(SPARK)).select("msg_id", "body")
+def authn_messages(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    return _run(spark, sf_dir, authn_messages_sql(SPARK), tasks).select("msg_id", "body")
 
 
-def authz_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def authz_events(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """Typed authorization events with ``event_id`` and ``k``; the context as VARIANT."""
     sql = f"SELECT e.*, {context_sql()} AS context FROM ({AUTHZ_EVENTS.format(**SPARK)}) e"
     return (
-        _run(spark, sf_dir, sql)
+        _run(spark, sf_dir, sql, tasks)
         .withColumn("created", F.col("created").cast("timestamp"))
         .withColumn("contextrequestjson", F.parse_json("context"))
     )
 
 
-def authz_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def authz_documents(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """``msg_id, json``: authorization events as posted directly."""
-    return _run(spark, sf_dir, authz_documents_sql(SPARK)).select("msg_id", "json")
+    return _run(spark, sf_dir, authz_documents_sql(SPARK), tasks).select("msg_id", "json")
 
 
-def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_messages(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """``msg_id, body``: every document of ``authz_documents`` in one of eight envelopes.
 
     By ``msg_id % 8``: plain, base64, compressed, base64 of compressed, unknown
@@ -292,15 +298,15 @@ def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.substring(compressed, F.lit(1), F.length(compressed) - 5))
     )
     return (
-        authz_documents(spark, sf_dir)
+        authz_documents(spark, sf_dir, tasks)
         .withColumn("_packed", brotli_compress(F.when(envelope.isin(2, 3, 7), document)))
         .select("msg_id", body.alias("body"))
     )
 
 
-def authz_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def authz_table(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     """Typed authorization events with the columns that are stored beside the request."""
-    return authz_events(spark, sf_dir).withColumns(shredded("authz"))
+    return authz_events(spark, sf_dir, tasks).withColumns(shredded("authz"))
 
 
 def base64_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,6 +336,7 @@ FEEDS = {
     "base64_texts": base64_texts,
     "brotli_texts": brotli_texts,
 }
+TEXT_FEEDS = ("base64_texts", "brotli_texts")
 _stored: dict[tuple[str, str, str], str] = {}
 
 
@@ -338,9 +345,13 @@ def stored_path(spark: SparkSession, sf_dir: str, name: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         path = scratch_dir(spark, name) + "/messages"
-        rows = FEEDS[name](spark, sf_dir)
+        tasks = spark.sparkContext.defaultParallelism
         # a queue dump comes in many files
-        rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        if name in TEXT_FEEDS:
+            rows = FEEDS[name](spark, sf_dir).repartition(tasks)
+        else:
+            rows = FEEDS[name](spark, sf_dir, tasks)
+        rows.write.parquet(path)
         _stored[key] = path
     return _stored[key]
 
