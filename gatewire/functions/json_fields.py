@@ -27,6 +27,7 @@ INTEGER_PATTERN = r"^[+-]?[0-9]+\z"
 
 # Fixed value: text that might have been a JSON number, boolean, object or array.
 NOT_ONLY_TEXT_PATTERN = r"^(-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?|true|false|[\[{][\s\S]*)\z"
+NOT_ONLY_TEXT_BEGINS = "-0123456789tf[{"
 
 # Escapes of half a surrogate pair, behind an even number of backslashes.
 _EVEN = r"((?<!\\)(?:\\\\)*)"
@@ -37,7 +38,7 @@ NUL_ESCAPE = r"\u0000"
 NUL_ESCAPE_PATTERN = rf"{_EVEN}\\u0000"
 
 # Numbers that VARIANT would round: more than 38 digits, or more than a double holds behind an exponent.
-MAYBE_ROUNDED_PATTERN = r"[0-9][0-9.]{38}|[0-9][eE]"
+MAYBE_ROUNDED_PATTERN = r"[0-9](?:[eE]|[0-9.]{38})"
 ROUNDED_PATTERN = r"(?:[0-9]\.?){39}|(?:[0-9]\.?){16}[eE]|[0-9][eE][+-]?0*[1-9][0-9]{2}"
 JSON_STRING_PATTERN = r'"(?:[^"\\]|\\.)*+"'
 
@@ -61,9 +62,10 @@ def candidate_documents(text: Column, document_type: str) -> Column:
     """Parse ``[<text>,null]``: the brackets make text after the first document visible.
 
     Spark stops reading at the end of the first JSON value, so
-    ``{"a":1} trailing`` would pass on its own.
+    ``{"a":1} trailing`` would pass on its own.  ``text`` has to be valid UTF-8; give it as a column,
+    as Spark doesn't compile what it hands to its JSON reader and works it out for each mention.
     """
-    wrapped = F.concat(F.lit("["), mark_half_surrogates(F.try_validate_utf8(text)), F.lit(",null]"))
+    wrapped = F.concat(F.lit("["), text, F.lit(",null]"))
     return F.from_json(wrapped, f"array<{document_type}>", JSON_OPTIONS)
 
 
@@ -110,7 +112,8 @@ def _unread_or_null(text: Column, tag: Column, present: Column, value: Column) -
 
 def maybe_not_text(text: Column) -> Column:
     """Whether a field read as text may have had another JSON type."""
-    return F.coalesce(text.rlike(NOT_ONLY_TEXT_PATTERN), F.lit(False))
+    begins = F.substring(text, 1, 1).isin(*NOT_ONLY_TEXT_BEGINS)
+    return F.coalesce(begins & text.rlike(NOT_ONLY_TEXT_PATTERN), F.lit(False))
 
 
 def _read_integer(text: Column, tag: Column, strict: bool) -> Column:
@@ -177,5 +180,6 @@ def json_or_text(text: Column) -> Column:
     marked = mark_half_surrogates(text)
     bare = F.regexp_replace(text, JSON_STRING_PATTERN, "")
     rounded = text.rlike(MAYBE_ROUNDED_PATTERN) & bare.rlike(ROUNDED_PATTERN)
-    lost = unstorable(text) | (F.contains(marked, F.lit(NUL_ESCAPE)) & marked.rlike(NUL_ESCAPE_PATTERN)) | rounded
+    escaped = F.contains(text, F.lit("\\u")) & F.contains(marked, F.lit(NUL_ESCAPE)) & marked.rlike(NUL_ESCAPE_PATTERN)
+    lost = unstorable(text) | escaped | rounded
     return F.when(~lost, F.coalesce(F.try_parse_json(text), text.cast("variant")))

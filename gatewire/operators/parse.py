@@ -18,6 +18,7 @@ from gatewire.functions.json_fields import (
     choice,
     ignore_key_case,
     json_or_text,
+    mark_half_surrogates,
     maybe_not_text,
     only_document,
     rebuild,
@@ -165,14 +166,16 @@ def _read(
     for code in dict.fromkeys(kind.code for kind in kinds.values()):
         found.append(problem(code, {names[c]: refused(c, kind) for c, kind in kinds.items() if kind.code == code}))
     parsed_events = (
-        messages.withColumn("_source", F.when(readable, F.col(text)))
+        messages.withColumn("_source", mark_half_surrogates(F.try_validate_utf8(F.when(readable, F.col(text)))))
         .withColumn("_documents", candidate_documents(F.col("_source"), parsed))
         .withColumn("_document", only_document(F.col("_documents")))
         .withColumn("_document", opened)
         .withColumns({f"_variant_{c}": field(c) for c in variants} | {"_is_object": document.isNotNull()})
         .withColumns({f"_text_{c}": x for c, x in texts.items()} | {f"_present_{c}": x for c, x in present.items()})
-        .withColumn("_exact", candidate_documents(F.when(in_doubt, F.col("_source")), "map<string,variant>"))
-        .withColumn("_exact", only_document(F.col("_exact")))
+        .withColumn("_doubted", F.when(in_doubt, F.col("_source")))
+        .withColumn("_exact", candidate_documents(F.col("_doubted"), "map<string,variant>"))
+        # naming the column once more keeps Catalyst from moving its condition into the JSON reader's input
+        .withColumn("_exact", F.when(F.col("_doubted").isNotNull(), only_document(F.col("_exact"))))
         .withColumn("_exact", rebuild(F.col("_exact")) if strict else ignore_key_case(F.col("_exact")))
         .withColumns({c: value(c, kind) for c, kind in kinds.items()})
         .withColumn("problems", add_problems(F.col("problems"), *found))

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -250,3 +251,11 @@ def test_exported_event_reads_back(spark):
     events = conform(parse_authn(frame), "authn")
     again = parse_authn(authn_to_json(events).select("json"), "json", strict=False)
     assert conform(again, "authn").collect() == events.collect()
+
+
+@pytest.mark.parametrize("parse", [parse_authn, parse_authz])
+def test_json_reader_is_given_columns(spark, parse):
+    """Whatever stands in its input otherwise is worked out uncompiled, and again for each mention."""
+    plan = parse(spark.createDataFrame([], "body string"), "body")._jdf.queryExecution().optimizedPlan().toString()
+    inputs = re.findall(r"from_json\(.*?,\s*concat\(\[, (.*?), ,null\]\)", plan)
+    assert len(inputs) == 2 and all(re.fullmatch(r"_\w+#\d+", column) for column in inputs)
