@@ -24,7 +24,7 @@ EXECUTION_SETTINGS = {
     # one that meets more than this sorts after all.
     "spark.sql.maxConcurrentOutputFileWriters": "6",
     # An access request is stored whole, beside the typed columns that are read of it; cutting it into
-    # columns of its own as well would take a fifth of an ingest's time.
+    # columns of its own as well would cost an ingest more than a tenth of its time.
     "spark.sql.variant.inferShreddingSchema": "false",
 }
 
